@@ -9,22 +9,33 @@ from pyspark.sql import functions as F
 
 from opinara.functions.constants import NEGATORS, SERVING_NEGATORS, STOP_WORDS
 
-# Java's \s is ASCII-only; these are the remaining Unicode blanks a whitespace split honours.
-BLANKS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-TOKEN = f"[^{BLANKS}]+"
-# A token with at least one capital and no lower- or title-case letter.
+# Blanks other than the space character, as a whitespace split of Unicode text sees them.
+_OTHER = (
+    r"\t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+BLANKS = " " + _OTHER
+# The same classes behind two range tests that reject ordinary letters at once.
+_BLANK = rf"[[^\x21-\x84\xA1-\x{{167F}}]&&[{BLANKS}]]"
+_ODD_BLANK = rf"[[^\x20-\x84\xA1-\x{{167F}}]&&[{_OTHER}]]"
+IRREGULAR_BLANKS = f" {_BLANK}+|{_ODD_BLANK}{_BLANK}*"
+# In single-spaced text: a token with a capital and no lower- or title-case letter.
 UPPER_TOKEN = (
-    rf"(?<![^{BLANKS}])[^{BLANKS}\p{{Ll}}\p{{Lt}}\p{{Lu}}]*+\p{{Lu}}"
-    rf"[^{BLANKS}\p{{Ll}}\p{{Lt}}]*+(?![^{BLANKS}])"
+    r"(?=[^ a-z])(?<![^ ])[^ \p{Ll}\p{Lt}\p{Lu}]*+\p{Lu}[^ \p{Ll}\p{Lt}]*+(?![^ ])"
 )
-TERM_TOKEN = r"(?U)\b\w\w+\b"
 
-# Characters removed or kept by each cleaning mode: (pattern, replacement).
+# Characters removed by each cleaning mode, and what replaces them.
 CLEAN_MODES = {
-    "keep_exclaim": (f"[^a-zA-Z{BLANKS}!]+", ""),
+    "keep_exclaim": (f"[^a-zA-Z!{BLANKS}]+", ""),
     "letters": (f"[^a-zA-Z{BLANKS}]+", ""),
     "spaced": (f"[^a-zA-Z{BLANKS}]+", " "),
 }
+# The same for lower-cased, single-spaced text.
+_COLLAPSED_MODES = {
+    "keep_exclaim": ("[^a-z !]+", ""),
+    "letters": ("[^a-z ]+", ""),
+    "spaced": ("[^a-z ]+", " "),
+}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,18 +49,19 @@ def fill_text(text: Column | str) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def tokens(text: Column) -> Column:
-    """Whitespace tokens without empties."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def collapse_blanks(text: Column) -> Column:
+    """Single-spaced text; only irregular blanks are rewritten."""
+    return F.btrim(F.regexp_replace(text, IRREGULAR_BLANKS, " "))
 
 
-def join_tokens(words: Column) -> Column:
-    return F.array_join(words, " ")
+def tokens(text: Column, collapsed: bool = False) -> Column:
+    """Whitespace tokens without empties; ``collapsed`` marks text that is single-spaced."""
+    single = text if collapsed else collapse_blanks(text)
+    return F.array_remove(F.split(single, " "), "")
 
 
-def collapse_blanks(text: Column) -> Column:
-    """Same text as splitting on blanks and joining with one space."""
-    return F.btrim(F.regexp_replace(text, f"[{BLANKS}]+", " "))
+def join_tokens(words: Column) -> Column:
+    return F.array_join(words, " ")
 
 
 def expand_contractions(text: Column) -> Column:
@@ -66,8 +78,8 @@ def mark_negation(
     without any negator skip the array work.
     """
     words = sorted(negators)
-    alternatives = "|".join(words)
-    has_negator = text.rlike(f"(?i)(?<![^{BLANKS}])(?:{alternatives})(?![^{BLANKS}])")
+    first = "".join(sorted({w[0] for w in words}))
+    has_negator = f"(?i)(?=[{first}])(?<![^ ])(?:{'|'.join(words)})(?![^ ])"
 
     def mark(ws: Column) -> Column:
         flags = F.transform(ws, lambda w: F.lower(w).isin(*words))
@@ -83,7 +95,10 @@ def mark_negation(
 
         return let(flags, apply)
 
-    return F.when(has_negator, let(tokens(text), mark)).otherwise(collapse_blanks(text))
+    return let(
+        collapse_blanks(text),
+        lambda s: F.when(s.rlike(has_negator), let(tokens(s, collapsed=True), mark)).otherwise(s),
+    )
 
 
 def stop_list(keep_words: Iterable[str] = (), base: Iterable[str] = STOP_WORDS) -> list[str]:
@@ -105,8 +120,11 @@ def clean_tokens(
     keep_words: Iterable[str] = NEGATORS,
     mode: str = "keep_exclaim",
     stop_words: Iterable[str] = STOP_WORDS,
+    collapsed: bool = False,
 ) -> Column:
-    words = tokens(regex_strip(F.lower(text), mode))
+    single = text if collapsed else collapse_blanks(text)
+    pattern, replacement = _COLLAPSED_MODES[mode]
+    words = tokens(F.regexp_replace(F.lower(single), pattern, replacement), collapsed=True)
     return remove_stopwords(words, stop_list(keep_words, stop_words))
 
 
@@ -115,9 +133,10 @@ def clean_text(
     keep_words: Iterable[str] = NEGATORS,
     mode: str = "keep_exclaim",
     stop_words: Iterable[str] = STOP_WORDS,
+    collapsed: bool = False,
 ) -> Column:
     """Lower-case, strip, tokenise, drop stop words, join."""
-    return join_tokens(clean_tokens(text, keep_words, mode, stop_words))
+    return join_tokens(clean_tokens(text, keep_words, mode, stop_words, collapsed))
 
 
 def prepare_training(text: Column) -> Column:
@@ -134,16 +153,17 @@ def char_length(text: Column) -> Column:
     return F.length(text)
 
 
-def word_count(text: Column) -> Column:
-    return F.size(tokens(text))
+def word_count(text: Column, collapsed: bool = False) -> Column:
+    return F.size(tokens(text, collapsed))
 
 
 def exclamation_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))
 
 
-def uppercase_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(UPPER_TOKEN))
+def uppercase_count(text: Column, collapsed: bool = False) -> Column:
+    single = text if collapsed else collapse_blanks(text)
+    return F.regexp_count(single, F.lit(UPPER_TOKEN))
 
 
 def contains_question(text: Column) -> Column:
@@ -156,7 +176,7 @@ def strip_or_null(text: Column) -> Column:
 
 def collapse_edges(text: Column) -> Column:
     """Remove blanks at both ends."""
-    return F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
 
 
 def preview(text: Column, chars: int = 200) -> Column:
@@ -164,37 +184,39 @@ def preview(text: Column, chars: int = 200) -> Column:
     return F.substring(text, 1, chars)
 
 
-def terms(cleaned: Column, pattern: str = TERM_TOKEN) -> Column:
-    """Single words of two or more letters followed by adjacent pairs."""
+def terms(cleaned: Column) -> Column:
+    """Words of two or more letters, followed by adjacent pairs, of a cleaned text.
+
+    Cleaned text holds letters, blanks and ``!`` only, so word borders are blanks and ``!``.
+    """
 
     def both(ws: Column) -> Column:
-        pairs = F.transform(
+        pairs = F.zip_with(
+            ws,
             F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))),
-            lambda w, i: F.concat_ws(" ", F.get(ws, i), w),
+            lambda a, b: F.concat(a, F.lit(" "), b),
         )
-        return F.concat(ws, pairs)
+        return F.concat(ws, F.slice(pairs, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))))
 
-    return let(F.regexp_extract_all(cleaned, F.lit(pattern), F.lit(0)), both)
+    words = F.split(F.replace(cleaned, F.lit("!"), F.lit(" ")), " ")
+    return let(F.filter(words, lambda w: F.length(w) >= 2), both)
 
 
 def term_counts(all_terms: Column) -> Column:
-    """array<struct<term,tf>> of one document, counted inside the row (no shuffle)."""
+    """array<struct<term,tf>> of one document: run lengths of the sorted terms, in the row."""
 
-    def count_runs(sorted_terms: Column) -> Column:
-        n = F.size(sorted_terms)
+    def count_runs(ordered: Column) -> Column:
+        n = F.size(ordered)
         starts = F.filter(
-            F.transform(
-                sorted_terms,
-                lambda t, i: F.when((i == 0) | (t != F.get(sorted_terms, i - 1)), i),
-            ),
-            lambda i: i.isNotNull(),
+            F.sequence(F.lit(0), n - 1),
+            lambda i: ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1)),
         )
         return let(
             starts,
             lambda st: F.transform(
                 st,
                 lambda s, j: F.struct(
-                    F.get(sorted_terms, s).alias("term"),
+                    F.get(ordered, s).alias("term"),
                     (F.coalesce(F.get(st, j + 1), n) - s).alias("tf"),
                 ),
             ),

@@ -15,11 +15,12 @@ NUMERIC_FEATURES = ("review_length", "exclamation_count", "uppercase_count")
 
 
 def with_numeric_features(df: DataFrame, marked: str = "review_neg", cleaned: str = "cleaned_text") -> DataFrame:
+    """The three counts; ``marked`` is the single-spaced output of negation marking."""
     return df.withColumns(
         {
             "review_length": T.char_length(F.col(cleaned)),
             "exclamation_count": T.exclamation_count(F.col(marked)),
-            "uppercase_count": T.uppercase_count(F.col(marked)),
+            "uppercase_count": T.uppercase_count(F.col(marked), collapsed=True),
         }
     )
 

@@ -12,25 +12,35 @@ from opinara.functions import scores as S
 from opinara.functions import text as T
 from opinara.session import lookup_join
 
-# Letters and digits stay at the token edges; other edge characters are trimmed.
-EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+# Anything but letters and digits is trimmed from token edges, here over single-spaced text.
+EDGE_RUNS = r"[^\p{L}\p{N} ]+(?![^ ])|(?<![^ ])[^\p{L}\p{N} ]+"
+EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
 def lexicon_token(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, EDGE, ""))
+    """Lookup form of one token."""
+    return F.lower(F.regexp_replace(word, EDGES, ""))
+
+
+def lookup_text(single: Column) -> Column:
+    """Lookup form of all tokens of a single-spaced text; token positions are kept."""
+    return F.regexp_replace(F.lower(single), EDGE_RUNS, "")
 
 
 def token_stream(df: DataFrame, text_col: str, id_col: str = "review_id", keep: Sequence[str] = ()) -> DataFrame:
-    """(id, kept narrow columns, pos, token); reviews without tokens keep one null row."""
-    words = T.tokens(T.fill_text(text_col))
-    return df.select(id_col, *keep, F.posexplode_outer(words).alias("pos", "word")).withColumn(
-        "token", lexicon_token(F.col("word"))
-    ).drop("word")
+    """(id, kept narrow columns, n_words, token); reviews without tokens keep one null row."""
+    single = df.select(id_col, *keep, T.collapse_blanks(T.fill_text(text_col)).alias("_single"))
+    return single.select(
+        id_col,
+        *keep,
+        T.word_count(F.col("_single"), collapsed=True).alias("n_words"),
+        F.explode_outer(T.tokens(lookup_text(F.col("_single")), collapsed=True)).alias("token"),
+    )
 
 
 def lexicon_hits(df: DataFrame, lexicon: DataFrame, text_col: str, id_col: str = "review_id", bounded: bool = False) -> DataFrame:
     """One row per lexicon word occurrence."""
-    return lookup_join(token_stream(df, text_col, id_col), lexicon, "token", "inner", bounded=bounded)
+    return lookup_join(token_stream(df, text_col, id_col), lexicon, "token", "inner", spread=id_col, bounded=bounded)
 
 
 def lexicon_scores(
@@ -47,12 +57,12 @@ def lexicon_scores(
     were read (partial aggregation) and one narrow row per review is exchanged.  A kept
     column is carried next to each token, so only narrow columns belong in ``keep``.
     """
-    stream = lookup_join(token_stream(df, text_col, id_col, keep), lexicon, "token", bounded=bounded)
+    stream = lookup_join(token_stream(df, text_col, id_col, keep), lexicon, "token", spread=id_col, bounded=bounded)
     return (
         stream.groupBy(id_col)
         .agg(
             *[F.first(c).alias(c) for c in keep],
-            F.count("pos").cast("int").alias("n_words"),
+            F.first("n_words").alias("n_words"),
             F.count("valence").cast("int").alias("n_hits"),
             F.coalesce(F.sum("valence"), F.lit(0.0)).alias("valence_sum"),
             F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("polarity"),
@@ -97,41 +107,33 @@ def rule_scores(
     marks.  The three preceding words travel with each token, so no window over the token
     stream is needed, and rules are evaluated on lexicon hits only.
     """
-    text = T.fill_text(text_col)
-
-    def with_context(ws: Column) -> Column:
-        return F.transform(
-            ws,
-            lambda w, i: F.struct(
-                w.alias("word"),
-                F.get(ws, i - 1).alias("w1"),
-                F.get(ws, i - 2).alias("w2"),
-                F.get(ws, i - 3).alias("w3"),
-            ),
-        )
-
-    per_review = df.select(
+    single = df.select(id_col, T.collapse_blanks(T.fill_text(text_col)).alias("text"))
+    per_review = single.select(
         id_col,
-        T.tokens(text).alias("ws"),
-        F.least(T.exclamation_count(text), F.lit(C.EXCLAIM_MAX)).alias("exclaims"),
-        T.uppercase_count(text).alias("n_upper"),
-        F.regexp_count(text, F.lit(rf"(?i)(?<![^{T.BLANKS}])but(?![^{T.BLANKS}])")).alias("n_but"),
+        F.split("text", " ").alias("ws"),
+        F.split(lookup_text(F.col("text")), " ").alias("keys"),
+        F.least(T.exclamation_count(F.col("text")), F.lit(C.EXCLAIM_MAX)).alias("exclaims"),
+        T.uppercase_count(F.col("text"), collapsed=True).alias("n_upper"),
+        F.split(F.lower("text"), " ").alias("low"),
     )
-    per_review = per_review.select(
+
+    def with_context(key: Column, i: Column) -> Column:
+        return F.struct(
+            i.alias("pos"),
+            key.alias("token"),
+            F.get("ws", i).alias("word"),
+            F.get("ws", i - 1).alias("w1"),
+            F.get("ws", i - 2).alias("w2"),
+            F.get("ws", i - 3).alias("w3"),
+        )
+
+    stream = per_review.select(
         id_col,
         "exclaims",
         ((F.col("n_upper") > 0) & (F.col("n_upper") < F.size("ws"))).alias("mixed_case"),
-        F.when(
-            F.col("n_but") > 0,
-            F.array_position(F.transform("ws", lambda w: F.lower(w)), "but") - 1,
-        ).alias("but_at"),
-        with_context(F.col("ws")).alias("ctx"),
-    )
-    stream = per_review.select(
-        id_col, "exclaims", "mixed_case", "but_at", F.posexplode_outer("ctx").alias("pos", "c")
-    ).select(
-        id_col, "exclaims", "mixed_case", "but_at", "pos", "c.*", lexicon_token(F.col("c.word")).alias("token")
-    )
+        F.nullif(F.array_position("low", "but"), F.lit(0)).alias("but_at"),
+        F.explode(F.transform("keys", with_context)).alias("c"),
+    ).select(id_col, "exclaims", "mixed_case", (F.col("but_at") - 1).alias("but_at"), "c.*")
     hits = lookup_join(stream, lexicon.select("token", "valence"), "token", bounded=bounded)
 
     sign = F.when(F.col("value") > 0, 1.0).otherwise(-1.0)

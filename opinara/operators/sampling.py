@@ -8,15 +8,15 @@ is compared with every row in a map-only pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from opinara.session import fits_broadcast
+from opinara.session import checkpointed, fits_broadcast
 
-HASH_DIGITS = 4  # 65,536 groups per stratum
+HASH_DIGITS = 3  # 4,096 groups per stratum
 MAX_STRATA = 1000
 
 
@@ -52,19 +52,37 @@ def largest_remainder(counts: DataFrame, size: Column) -> DataFrame:
     )
 
 
-def cutoffs(df: DataFrame, strata: str, quotas: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """(stratum, cut): key of the last row taken; strata with quota 0 are absent."""
-    keyed = df.select(F.col(strata).alias("stratum"), order_key(id_col, seed).alias("key"))
-    keyed = keyed.withColumn("digits", F.substring("key", 1, HASH_DIGITS))
+def _keyed(df: DataFrame, strata: str, id_col: str, seed: int) -> DataFrame:
+    return df.select(
+        F.col(strata).alias("stratum"), order_key(id_col, seed).alias("key")
+    ).withColumn("digits", F.substring("key", 1, HASH_DIGITS))
+
+
+def mark_taken(
+    df: DataFrame,
+    strata: str,
+    quotas: Callable[[DataFrame], DataFrame],
+    id_col: str,
+    seed: int,
+    flag: str = "taken",
+) -> DataFrame:
+    """Add a boolean: row is among the first ``quota`` rows of its stratum.
+
+    ``quotas`` turns (stratum, n) into (stratum, n, quota).  Three passes over the narrow
+    key columns: counts per hash group (written once; everything about quotas derives from
+    that small table), the one group per stratum that holds the cut-off, and the final
+    comparison.
+    """
+    keyed = _keyed(df, strata, id_col, seed)
+    sizes = checkpointed(keyed.groupBy("stratum", "digits").agg(F.count(F.lit(1)).alias("size")))
+    counts = sizes.groupBy("stratum").agg(F.sum("size").alias("n"))
+    if not fits_broadcast(counts, MAX_STRATA):
+        raise ValueError(f"'{strata}' has more than {MAX_STRATA} values; it is not a stratum column.")
+    q = quotas(counts).select(F.col("stratum").alias("q_stratum"), F.least("quota", "n").alias("quota"))
     upto = W.partitionBy("stratum").orderBy("digits").rowsBetween(W.unboundedPreceding, -1)
-    q = quotas.select(F.col("stratum").alias("q_stratum"), "quota")
     edge = (
-        keyed.groupBy("stratum", "digits")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-        .withColumn("available", F.sum("size").over(W.partitionBy("stratum")))
+        sizes.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
         .join(F.broadcast(q), F.col("stratum").eqNullSafe(F.col("q_stratum")))
-        .withColumn("quota", F.least("quota", "available"))
         .where((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("size")))
         .select(
             F.col("stratum").alias("e_stratum"),
@@ -73,32 +91,15 @@ def cutoffs(df: DataFrame, strata: str, quotas: DataFrame, id_col: str, seed: in
         )
     )
     inside = W.partitionBy("stratum", "digits").orderBy("key")
-    return (
+    cuts = (
         keyed.join(
             F.broadcast(edge),
             F.col("stratum").eqNullSafe(F.col("e_stratum")) & (F.col("digits") == F.col("e_digits")),
         )
         .withColumn("place", F.row_number().over(inside))
         .where(F.col("place") == F.col("rest"))
-        .select("stratum", F.col("key").alias("cut"))
+        .select(F.col("stratum").alias("c_stratum"), F.col("key").alias("cut"))
     )
-
-
-def check_strata(df: DataFrame, strata: str) -> None:
-    if not fits_broadcast(df.select(strata).distinct(), MAX_STRATA):
-        raise ValueError(f"'{strata}' has more than {MAX_STRATA} values; it is not a stratum column.")
-
-
-def mark_taken(
-    df: DataFrame,
-    strata: str,
-    quotas: DataFrame,
-    id_col: str,
-    seed: int,
-    flag: str = "taken",
-) -> DataFrame:
-    """Add a boolean: row is among the first ``quota`` rows of its stratum."""
-    cuts = cutoffs(df, strata, quotas, id_col, seed).select(F.col("stratum").alias("c_stratum"), "cut")
     return (
         df.join(F.broadcast(cuts), F.col(strata).eqNullSafe(F.col("c_stratum")), "left")
         .withColumn(flag, F.coalesce(order_key(id_col, seed) <= F.col("cut"), F.lit(False)))
@@ -144,16 +145,17 @@ def sample_balanced(
 
     ``strict`` refuses a class that is too small; otherwise such a class is taken whole.
     """
-    if class_col != "sentiment":  # the three labels are bounded by construction
-        check_strata(df, class_col)
-    counts = strata_counts(df, class_col)
-    smallest = F.min("n").over(W.partitionBy(F.lit(1)))
     if strict and n_per_class is not None:
-        short = counts.where(F.col("n") < n_per_class).limit(1).count()
+        short = strata_counts(df, class_col).where(F.col("n") < n_per_class).limit(1).count()
         if short:
             raise ValueError(f"A class has fewer than {n_per_class} rows.")
-    size = smallest if n_per_class is None else F.lit(n_per_class).cast("long")
-    quotas = counts.withColumn("quota", size)
+
+    def quotas(counts: DataFrame) -> DataFrame:
+        smallest = F.min("n").over(W.partitionBy(F.lit(1)))
+        return counts.withColumn(
+            "quota", smallest if n_per_class is None else F.lit(n_per_class).cast("long")
+        )
+
     return mark_taken(df, class_col, quotas, id_col, seed).where("taken").drop("taken")
 
 
@@ -161,9 +163,8 @@ def sample_stratified(
     df: DataFrame, n: int, strata: str = "overall", id_col: str = "review_id", seed: int = 42
 ) -> DataFrame:
     """n rows that keep the shares of ``strata``."""
-    check_strata(df, strata)
-    quotas = largest_remainder(strata_counts(df, strata), F.lit(n))
-    return mark_taken(df, strata, quotas, id_col, seed).where("taken").drop("taken")
+    share_out = lambda counts: largest_remainder(counts, F.lit(n))
+    return mark_taken(df, strata, share_out, id_col, seed).where("taken").drop("taken")
 
 
 def train_quotas(counts: DataFrame, test_fraction: float) -> DataFrame:
@@ -181,9 +182,8 @@ def split_stratified(
     seed: int = 42,
 ) -> DataFrame:
     """Add ``split`` = train / test, preserving the shares of ``strata``."""
-    check_strata(df, strata)
-    quotas = train_quotas(strata_counts(df, strata), test_fraction)
-    marked = mark_taken(df, strata, quotas, id_col, seed, flag="_train")
+    share_out = lambda counts: train_quotas(counts, test_fraction)
+    marked = mark_taken(df, strata, share_out, id_col, seed, flag="_train")
     return marked.withColumn(
         "split", F.when(F.col("_train"), F.lit("train")).otherwise(F.lit("test"))
     ).drop("_train")

@@ -41,7 +41,7 @@ class ReviewText(Transformer, HasInputCol, DefaultParamsReadable, DefaultParamsW
         marked = T.prepare_serving(text) if serving else T.prepare_training(text)
         keep = ("not", "no") if serving else C.NEGATORS
         prepared = dataset.withColumn(MARKED, marked).withColumn(
-            CLEANED, T.clean_text(F.col(MARKED), keep_words=keep)
+            CLEANED, T.clean_text(F.col(MARKED), keep_words=keep, collapsed=True)
         )
         counted = with_numeric_features(prepared, MARKED, CLEANED)
         # One generated row per input row: the text steps stay in their own operator and

@@ -65,7 +65,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned(df: DataFrame) -> DataFrame:
     """Training-profile text columns."""
     return df.withColumn("review_neg", T.prepare_training(F.col("reviewText"))).withColumn(
-        "cleaned_text", T.clean_text(F.col("review_neg"))
+        "cleaned_text", T.clean_text(F.col("review_neg"), collapsed=True)
     )
 
 

@@ -27,6 +27,7 @@ from opinara.registry.base import (
     with_,
 )
 from opinara.registry.sampling import SQL_BASE, SQL_SPLIT, split_rows
+from opinara.session import checkpointed
 from opinara.sources.reviews import documents, reviews_ratings
 
 RAW = "coalesce(\"reviewText\", '')"
@@ -200,10 +201,13 @@ SQL_TRAINED = (SQL_RATED, SQL_BASE, SQL_SPLIT, sql_cleaned("rated"), SQL_NUMERIC
 
 
 def prepared_split(spark, sf_dir):
-    """Rated reviews with text columns, numeric features, label and split tag."""
+    """Rated reviews with text columns, numeric features, label and split tag.
+
+    Written once: vocabulary, scaling limits, weights and scores all read it.
+    """
     split = split_rows(spark, sf_dir).select("review_id", "overall", "sentiment", "split")
     docs = documents(spark, sf_dir).select("review_id", "reviewText").join(split, "review_id")
-    return X.with_numeric_features(cleaned(docs)).drop("reviewText")
+    return checkpointed(X.with_numeric_features(cleaned(docs)).drop("reviewText", "review_neg"))
 
 
 @query(
@@ -247,9 +251,9 @@ def bayes_predictions(spark, sf_dir, alpha: float = 1.0):
     """Naive Bayes fitted on the training rows, scores of the test rows."""
     rows = prepared_split(spark, sf_dir)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    train_ids = split_rows(spark, sf_dir).where("split = 'train'").select("review_id", "sentiment")
+    train_ids = train.select("review_id", "sentiment")
     train_terms = X.document_terms(train, keep=["sentiment"])
-    vocabulary = X.fit_vocabulary(X.vocab_stats(train_terms), train_ids)
+    vocabulary = checkpointed(X.fit_vocabulary(X.vocab_stats(train_terms), train_ids))
     train_x = X.tfidf_weights(train_terms, vocabulary, keep=["sentiment"]).unionByName(
         X.numeric_as_terms(X.minmax_scale(train, train), keep=["sentiment"])
     )

@@ -240,7 +240,7 @@ _LEMMA_CTE = (
 
 def _clean_tokens(spark, sf_dir):
     marked = T.prepare_training(F.col("reviewText"))
-    return texts(spark, sf_dir).select("review_id", T.clean_tokens(marked).alias("ws"))
+    return texts(spark, sf_dir).select("review_id", T.clean_tokens(marked, collapsed=True).alias("ws"))
 
 
 @query("lemma_map", with_(SQL_TEXTS, sql_cleaned("texts"), _TOKENS_CTE, _LEMMA_CTE) + "SELECT token, lemma FROM lemma_map")
