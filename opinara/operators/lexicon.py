@@ -30,12 +30,14 @@ def lookup_text(single: Column) -> Column:
 def token_stream(df: DataFrame, text_col: str, id_col: str = "review_id", keep: Sequence[str] = ()) -> DataFrame:
     """(id, kept narrow columns, n_words, token); reviews without tokens keep one null row."""
     single = df.select(id_col, *keep, T.collapse_blanks(T.fill_text(text_col)).alias("_single"))
-    return single.select(
+    # The count is finished before the explode, so no text travels with the tokens.
+    per_review = single.select(
         id_col,
         *keep,
         T.word_count(F.col("_single"), collapsed=True).alias("n_words"),
-        F.explode_outer(T.tokens(lookup_text(F.col("_single")), collapsed=True)).alias("token"),
+        T.tokens(lookup_text(F.col("_single")), collapsed=True).alias("_tokens"),
     )
+    return per_review.select(id_col, *keep, "n_words", F.explode_outer("_tokens").alias("token"))
 
 
 def lexicon_hits(df: DataFrame, lexicon: DataFrame, text_col: str, id_col: str = "review_id", bounded: bool = False) -> DataFrame:
@@ -127,13 +129,18 @@ def rule_scores(
             F.get("ws", i - 3).alias("w3"),
         )
 
-    stream = per_review.select(
-        id_col,
-        "exclaims",
-        ((F.col("n_upper") > 0) & (F.col("n_upper") < F.size("ws"))).alias("mixed_case"),
-        F.nullif(F.array_position("low", "but"), F.lit(0)).alias("but_at"),
-        F.explode(F.transform("keys", with_context)).alias("c"),
-    ).select(id_col, "exclaims", "mixed_case", (F.col("but_at") - 1).alias("but_at"), "c.*")
+    # Outer, because an inner explode adds a filter that would evaluate the contexts twice.
+    stream = (
+        per_review.select(
+            id_col,
+            "exclaims",
+            ((F.col("n_upper") > 0) & (F.col("n_upper") < F.size("ws"))).alias("mixed_case"),
+            (F.nullif(F.array_position("low", "but"), F.lit(0)) - 1).alias("but_at"),
+            F.transform("keys", with_context).alias("contexts"),
+        )
+        .select(id_col, "exclaims", "mixed_case", "but_at", F.explode_outer("contexts").alias("c"))
+        .select(id_col, "exclaims", "mixed_case", "but_at", "c.*")
+    )
     hits = lookup_join(stream, lexicon.select("token", "valence"), "token", bounded=bounded)
 
     sign = F.when(F.col("value") > 0, 1.0).otherwise(-1.0)
