@@ -174,16 +174,15 @@ def _key(df: DataFrame, column: str) -> Column:
 
 def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows beyond the first of each key, and all rows whose key repeats; nulls are equal."""
+    copies = F.col("_copies")
     sizes = (
         df.select(*[_key(df, c) for c in columns])
         .groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("_copies"))
     )
     return sizes.agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicates"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
-        .cast("bigint")
-        .alias("rows_involved"),
+        F.coalesce(F.sum(copies - 1), F.lit(0)).cast("bigint").alias("duplicates"),
+        F.coalesce(F.sum(F.when(copies > 1, copies)), F.lit(0)).cast("bigint").alias("rows_involved"),
     )
 
 
