@@ -176,7 +176,7 @@ def strip_or_null(text: Column) -> Column:
 
 def collapse_edges(text: Column) -> Column:
     """Remove blanks at both ends."""
-    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.regexp_replace(text, f"^{_BLANK}++|(?<!{_BLANK}){_BLANK}++$", "")
 
 
 def preview(text: Column, chars: int = 200) -> Column:

@@ -13,8 +13,10 @@ from opinara.functions import text as T
 from opinara.session import lookup_join
 
 # Anything but letters and digits is trimmed from token edges, here over single-spaced text.
-EDGE_RUNS = r"[^\p{L}\p{N} ]+(?![^ ])|(?<![^ ])[^\p{L}\p{N} ]+"
-EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+# A match starts only where a run of such characters starts and never backtracks, so long
+# runs of symbols cost linear time.
+EDGE_RUNS = r"(?<![^\p{L}\p{N} ])(?:(?<![^ ])[^\p{L}\p{N} ]++|[^\p{L}\p{N} ]++(?![^ ]))"
+EDGES = r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 
 
 def lexicon_token(word: Column) -> Column:

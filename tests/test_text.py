@@ -114,3 +114,16 @@ def test_rating_labels(spark):
 def test_strip_or_null(spark):
     df = spark.createDataFrame([("  a b ",), (" \t",), (None,)], "t string")
     assert [r[0] for r in df.select(T.strip_or_null(F.col("t"))).collect()] == ["a b", None, None]
+
+
+def test_long_symbol_runs_cost_linear_time(spark):
+    import time
+
+    from opinara.operators.lexicon import lookup_text
+
+    run = "=" * 200_000
+    df = spark.createDataFrame([(f"a{run}b {run} --good-- {' ' * 50_000}x",)], "t string")
+    start = time.time()
+    row = df.select(lookup_text(T.collapse_blanks(F.col("t"))), T.strip_or_null(F.col("t"))).first()
+    assert row[0] == f"a{run}b  good x"
+    assert time.time() - start < 20
