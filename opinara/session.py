@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,15 +15,24 @@ SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach; a temporary one only where none is configured."""
+    """Folder that the driver and all executors can reach.
+
+    The configured one, always.  Only a local session, whose tasks run in this very process,
+    may fall back to a temporary folder.
+    """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
+    current = context.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="opinara-")
-    spark.sparkContext.setCheckpointDir(local)
+    context.setCheckpointDir(local)
     return local
 
 
