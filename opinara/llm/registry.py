@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import packing, quality, sharding, suffixes, tokens
+from opinara.llm import packing, quality, sharding, simhash, suffixes, tokens
 from opinara.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.suffix_sums(tokens.histogram(table(spark, sf_dir, "documents")))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_sharding, op4_quality_rules, op5_token_counts, op10_suffix_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_sharding, op4_quality_rules, op5_token_counts, op7_simhash, op10_suffix_dedup)}
 
 
 def oracles() -> dict[str, str]:
