@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import packing, quality, sharding, simhash, suffixes, tokens
+from opinara.llm import packing, quality, sharding, simhash, suffixes, tokens, toxicity
 from opinara.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_sharding, op4_quality_rules, op5_token_counts, op7_simhash, op10_suffix_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_sharding, op4_quality_rules, op5_token_counts, op7_simhash, op8_toxicity, op10_suffix_dedup)}
 
 
 def oracles() -> dict[str, str]:
