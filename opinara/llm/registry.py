@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import packing, quality, sharding, simhash, suffixes, tokens, toxicity
+from opinara.llm import lines, packing, quality, sharding, simhash, suffixes, tokens, toxicity
 from opinara.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.suffix_sums(tokens.histogram(table(spark, sf_dir, "documents")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -41,8 +45,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_sharding, op4_quality_rules, op5_token_counts, op7_simhash, op8_toxicity, op10_suffix_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_sharding, op4_quality_rules, op5_token_counts, op6_line_dedup, op7_simhash, op8_toxicity, op10_suffix_dedup)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_sharding": sharding.oracle(), "op4_quality_rules": quality.SQL}
+    return {"op3_sharding": sharding.oracle(), "op4_quality_rules": quality.SQL, "op6_line_dedup": lines.SQL}
