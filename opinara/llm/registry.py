@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import lines, packing, quality, sharding, simhash, suffixes, tokens, toxicity
+from opinara.llm import lines, packing, pieces, quality, sharding, simhash, suffixes, tokens, toxicity
 from opinara.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,11 +41,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_sharding, op4_quality_rules, op5_token_counts, op6_line_dedup, op7_simhash, op8_toxicity, op10_suffix_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_sharding, op4_quality_rules, op5_token_counts, op6_line_dedup, op7_simhash, op8_toxicity, op9_sentencepiece, op10_suffix_dedup)}
 
 
 def oracles() -> dict[str, str]:
