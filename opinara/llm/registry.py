@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import lines, packing, pieces, quality, sharding, simhash, suffixes, tokens, toxicity
+from opinara.llm import lines, packing, pieces, quality, sharding, simhash, suffixes, tokens, toxicity, vectors
 from opinara.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_packing, op3_sharding, op4_quality_rules, op5_token_counts, op6_line_dedup, op7_simhash, op8_toxicity, op9_sentencepiece, op10_suffix_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_sharding, op4_quality_rules, op5_token_counts, op6_line_dedup, op7_simhash, op8_toxicity, op9_sentencepiece, op10_suffix_dedup)}
 
 
 def oracles() -> dict[str, str]:
