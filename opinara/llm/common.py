@@ -26,13 +26,15 @@ def key_of(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY))
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, _key, _copy): one identity for each row, also where ids repeat or are null.
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, text, _key, _copy): one identity for each row, also where ids
+    repeat or are null.
 
     Rows of one id are numbered by their text, so equal rows are interchangeable.  The rows are
     dealt by `_key`; every later join on it reuses that one exchange.
     """
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key_of(id_col).alias("_key"))
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    rows = docs.select(F.col(id_col), *carry, text, key_of(id_col).alias("_key"))
     order = W.partitionBy("_key").orderBy("text")
     return rows.repartition("_key").withColumn("_copy", F.row_number().over(order))
 
@@ -42,6 +44,17 @@ def packed(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[F.col(c).alias(f"_{c}") for c in keep])
 
 
+def set_apart(docs: DataFrame) -> DataFrame:
+    """(_row, _doc_id, _text): `_row` holds all columns but the text."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("_row"), F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"))
+
+
+def rewritten(rows: DataFrame, names: list[str], text: str) -> DataFrame:
+    """The columns of documents with a new text and its length."""
+    return unpacked(rows, names, text=F.col(text), n_chars=F.char_length(text).cast("long"))
+
+
 def unpacked(rows: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
     return rows.select(*[replaced.get(c, F.col("_row")[c]).alias(c) for c in names])
 

@@ -38,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from opinara.llm.common import numbered
+from opinara.llm.common import numbered, rewritten, set_apart
 
 LENGTH = 100
 GRAM = 32
@@ -633,19 +634,26 @@ def _rewrite(length: int, with_text: bool):
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, hot: int = HOT) -> DataFrame:
-    """(id, _key, _copy, n_bytes, n_removed, spans, kept): kept is the remaining text, or the
+def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, _key, _copy, n_bytes, n_removed, spans, kept): kept is the remaining text, or the
     SHA-256 of the remaining bytes when `with_text` is false."""
-    rows = numbered(docs, id_col, text_col)
+    rows = numbered(docs, id_col, text_col, carry)
     marks = marked(rows, length, hot)
     runs = searched(rows, marks, length)
     joined = rows.join(marks, "_key", "left").join(runs, "_key", "left")
-    joined = joined.select(F.col(id_col), "_key", "_copy", "text", "marks", "runs")
-    id_type = dict(joined.dtypes)[id_col]
-    schema = f"`{id_col}` {id_type}, _key long, _copy int, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept string"
+    joined = joined.select(F.col(id_col), *carry, "_key", "_copy", "text", "marks", "runs")
+    schema = joined.select(id_col, *carry, "_key", "_copy").schema.add("n_bytes", "long").add("n_removed", "long")
+    span = T.StructType().add("start", "long").add("stop", "long")
+    schema = schema.add("spans", T.ArrayType(span)).add("kept", "string")
     return joined.mapInArrow(_rewrite(length, with_text), schema)
 
 
+def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """`docs` with the remaining texts, all columns kept."""
+    rows = dedup(set_apart(docs), length, "_doc_id", "_text", carry=("_row",))
+    return rewritten(rows, docs.columns, "kept")
+
+
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     return dedup(docs, length, with_text=False).select(
