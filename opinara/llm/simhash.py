@@ -89,13 +89,15 @@ def fingerprints_of(texts: list[str | None]) -> np.ndarray:
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bits = fingerprints_of(batch.column("_text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(bits.view(np.int64))], names=["_id", "fp"])
+        columns = [batch.column("_id"), batch.column("_content"), pa.array(bits.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["_id", "_content", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, fp): fp is the fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(_fingerprint, "_id long, fp long")
+    """(_id, _content, fp): a hash of the text, and the fingerprint as a signed long."""
+    text = F.col(text_col).alias("_text")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_content"), text)
+    return rows.mapInArrow(_fingerprint, "_id long, _content long, fp long")
 
 
 def _cell(fp: Column) -> list[Column]:
@@ -233,7 +235,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """(id, fp, component_id), one row per input row."""
+    """(id, _content, fp, component_id), one row per input row."""
     fps = scratch(fingerprints(docs, id_col, text_col))
     distinct = fps.groupBy("fp").agg(F.min("_id").alias("low"))
     named = components(links(distinct, radius, tile)).withColumnRenamed("node", "fp")
@@ -241,7 +243,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_c
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     by_fp = named.join(lows, "component").select("fp", "component_id")
     # A fingerprint that very many rows share is one row here: Spark splits the rows' side.
-    return fps.join(by_fp, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    return fps.join(by_fp, "fp").select(F.col("_id").alias(id_col), "_content", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -252,13 +254,15 @@ def report(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` with one row left of each group: that of its smallest id.
 
-    Rows that share an id count as one document, of which the first by content stays; a row
-    with a null id comes after all others and stays if its group has no other.
+    Of several texts of that id the first by hash stays.  A row with a null id comes after all
+    others and stays if its group has no other.
     """
     last = F.lit(2**63 - 1) - F.pmod(F.xxhash64("_text"), F.lit(1 << 40))
     rows = packed(docs, "doc_id", "text").withColumn("_doc_id", F.coalesce(F.col("_doc_id").cast("long"), last))
-    lead = groups(rows, radius, "_doc_id", "_text").select(F.col("component_id").alias("_doc_id")).distinct()
-    rows = rows.select("_row", "_doc_id").join(lead, "_doc_id", "left_semi")
-    order = W.partitionBy("_doc_id").orderBy(F.xxhash64("_row"))
+    lead = groups(rows, radius, "_doc_id", "_text").where("_doc_id = component_id")
+    lead = lead.groupBy("_doc_id", "component_id").agg(F.min("_content").alias("_content"))
+    rows = rows.select("_row", "_doc_id", F.xxhash64("_text").alias("_content"))
+    rows = rows.join(lead.select("_doc_id", "_content"), ["_doc_id", "_content"], "left_semi")
+    order = W.partitionBy("_doc_id", "_content").orderBy(F.xxhash64("_row"))
     rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return unpacked(rows, docs.columns)

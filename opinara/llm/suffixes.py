@@ -349,27 +349,31 @@ def _find_segments(length: int):
     """Per batch of texts: one row per segment (anchor, digest, key, copy, start, windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                group, size = [], 0
-                keys, copies = np.asarray(batch.column("_key")), np.asarray(batch.column("_copy"))
-                for key, copy, text in zip(keys, copies, batch.column("text"), strict=True):
-                    data = text.as_py().encode()
-                    # Very long texts go in blocks; a block's windows end where the next's begin.
-                    for at in range(0, len(data) - length + 1, BLOCK_BYTES):
-                        part = data[at : at + BLOCK_BYTES + length - 1]
-                        if group and size + len(part) > BLOCK_BYTES:
-                            yield _segment_batch(group, length)
-                            group, size = [], 0
-                        group.append((key, copy, at, part))
-                        size += len(part)
-                if group:
-                    yield _segment_batch(group, length)
+        for batch in batches:
+            group, size = [], 0
+            keys, copies = np.asarray(batch.column("_key")), np.asarray(batch.column("_copy"))
+            for key, copy, text in zip(keys, copies, batch.column("text"), strict=True):
+                data = text.as_py().encode()
+                # Very long texts go in blocks; a block's windows end where the next's begin.
+                for at in range(0, len(data) - length + 1, BLOCK_BYTES):
+                    part = data[at : at + BLOCK_BYTES + length - 1]
+                    if group and size + len(part) > BLOCK_BYTES:
+                        yield _segment_batch(group, length)
+                        group, size = [], 0
+                    group.append((key, copy, at, part))
+                    size += len(part)
+            if group:
+                yield _segment_batch(group, length)
 
     return run
 
 
 def _segment_batch(group: list[tuple], length: int) -> pa.RecordBatch:
+    with np.errstate(over="ignore"):  # hashes wrap around
+        return _segments_of(group, length)
+
+
+def _segments_of(group: list[tuple], length: int) -> pa.RecordBatch:
     key, copy, offset, texts = zip(*group, strict=True)
     keys, copies, offsets = np.array(key), np.array(copy, dtype=np.int32), np.array(offset, dtype=np.int64)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
