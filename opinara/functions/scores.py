@@ -118,6 +118,10 @@ def service_prompt(text: Column) -> Column:
     )
 
 
+def timestamp_string(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+
+
 def run_timestamp() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    return timestamp_string(F.current_timestamp())
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import constants as C
+from opinara.session import checkpointed
 
 
 def fit_bayes(features: DataFrame, labels: DataFrame, n_features: Column, alpha: float = 1.0) -> DataFrame:
@@ -16,7 +17,8 @@ def fit_bayes(features: DataFrame, labels: DataFrame, n_features: Column, alpha:
     """
     mass = {c: F.sum(F.when(F.col("sentiment") == c, F.col("weight")).otherwise(0.0)) for c in C.CLASSES}
     per_term = features.groupBy("term").agg(*[m.alias(f"mass_{c}") for c, m in mass.items()])
-    totals = features.agg(F.struct(*[m.alias(c) for c, m in mass.items()]).alias("t")).scalar()
+    per_term = checkpointed(per_term)  # at most max_features + 3 rows
+    totals = per_term.agg(F.struct(*[F.sum(f"mass_{c}").alias(c) for c in mass]).alias("t")).scalar()
     return per_term.select(
         "term",
         *[

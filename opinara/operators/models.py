@@ -204,26 +204,34 @@ def train_models(
 
 def resolve_text_column(columns: list[str], text_column: str | None = None) -> str:
     """The given column, or the first known text column; metadata only."""
-    if text_column:
-        if text_column not in columns:
-            raise ValueError(f"Text column '{text_column}' was not found in the uploaded file.")
-        return text_column
-    for candidate in C.TEXT_COLUMNS:
-        if candidate in columns:
-            return candidate
-    raise ValueError(
-        "Could not infer the text column. Provide one of: " + ", ".join(C.TEXT_COLUMNS) + "."
-    )
+    wanted = [text_column] if text_column else list(C.TEXT_COLUMNS)
+    present = [c for c in wanted if c in columns]
+    if not present:
+        raise ValueError(f"no text column: looked for {', '.join(wanted)} among {', '.join(columns)}")
+    return present[0]
 
 
 def classify_frame(df: DataFrame, model: PipelineModel, text_column: str | None = None) -> DataFrame:
-    """Append the four prediction columns to any frame with a text column; map-only."""
+    """Append the four prediction columns to any frame with a text column; map-only.
+
+    The input travels in one struct past the model's stages, so its columns may have any
+    names, those of working columns included.
+    """
     column = resolve_text_column(df.columns, text_column)
+    kept = [c for c in df.columns if c not in OUTPUTS]
     reader = model.stages[0].copy({model.stages[0].inputCol: "_input_text"})
-    scored = PipelineModel(stages=[reader, *model.stages[1:]]).transform(
-        df.drop(*OUTPUTS).withColumn("_input_text", T.fill_text(column))
+    packed = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_input_row"), T.fill_text(F.col(f"`{column}`")).alias("_input_text")
     )
-    return scored.select(*[c for c in df.columns if c not in OUTPUTS], *OUTPUTS)
+    scored = PipelineModel(stages=[reader, *model.stages[1:]]).transform(packed)
+    return scored.select(*[F.col("_input_row")[c].alias(c) for c in kept], *OUTPUTS)
+
+
+def best_candidate(search: CrossValidatorModel) -> tuple[dict[str, str], float]:
+    """Parameters and mean f1 of the first candidate with the highest mean."""
+    best = max(range(len(search.avgMetrics)), key=lambda i: (search.avgMetrics[i], -i))
+    params = search.getEstimatorParamMaps()[best]
+    return {p.name: str(v) for p, v in params.items()}, float(search.avgMetrics[best])
 
 
 def grid_results(search: CrossValidatorModel, model: str) -> DataFrame:

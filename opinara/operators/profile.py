@@ -10,10 +10,9 @@ from pyspark.sql import Window as W
 
 from opinara.functions import constants as C
 from opinara.operators.quantiles import describe, exact_quantiles, value_counts_by
-from opinara.session import fits_broadcast
+from opinara.session import checkpointed
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
-MAX_GROUPS = 1000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -108,10 +107,8 @@ def histogram(
 
 def box_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles per group and the extreme values within 1.5 IQR of the box."""
-    if not fits_broadcast(df.select(group).distinct(), MAX_GROUPS):
-        raise ValueError(f"'{group}' has more than {MAX_GROUPS} values.")
     known = df.where(F.col(group).isNotNull())
-    counts = value_counts_by(known, [group], value)
+    counts = checkpointed(value_counts_by(known, [group], value))
     quartiles = (
         exact_quantiles(counts, [group], (0.25, 0.5, 0.75))
         .groupBy(group)
@@ -124,7 +121,7 @@ def box_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = (F.col("value") >= F.col("q25") - reach) & (F.col("value") <= F.col("q75") + reach)
     return (
-        counts.join(F.broadcast(quartiles), group)
+        counts.join(quartiles, group)
         .groupBy(group, "q25", "q50", "q75")
         .agg(
             F.sum("n").alias("n"),

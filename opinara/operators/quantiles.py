@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-PIECES = 64
+from opinara.session import checkpointed
+
+# Distinct values that one window may order.
+PIECE_ROWS = 50_000
 
 
 def value_counts_by(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -20,24 +24,30 @@ def value_counts_by(df: DataFrame, groups: Sequence[str], value: str) -> DataFra
     )
 
 
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of keys with their prefixed twins."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
+
+
 def exact_quantiles(
     counts: DataFrame, groups: Sequence[str], probs: Sequence[float]
 ) -> DataFrame:
     """(groups, prob, q) with linear interpolation, from `value_counts_by` output.
 
-    Approximate cut points split each group's distinct values into ``PIECES`` ranges of
-    similar size.  They steer only the balance: ranks are exact sums of counts.  Just the
-    ranges that contain a wanted rank are ordered, each in its own window.  The number of
-    groups must be small (column names, star values); it sizes the two broadcast tables.
+    ``counts`` is read several times, so pass a written table.  Approximate cut points split
+    each group's distinct values into ranges of about ``PIECE_ROWS`` values.  They steer only
+    the balance: ranks are exact sums of counts.  Just the ranges that contain a wanted rank
+    are ordered, each in its own window.
     """
     groups = list(groups)
+    pieces = 1 + counts.count() // PIECE_ROWS
+    cuts = F.percentile_approx("value", F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), F.lit(10_000))
     meta = counts.groupBy(*groups).agg(
-        F.percentile_approx(
-            "value", F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)]), F.lit(10_000)
-        ).alias("cuts"),
-        F.sum("n").alias("total"),
+        (cuts if pieces > 1 else F.array().cast("array<double>")).alias("cuts"), F.sum("n").alias("total")
     )
-    placed = counts.join(F.broadcast(meta), groups).withColumn(
+    keys = [F.col(g).alias(f"_m_{g}") for g in groups]
+    meta = meta.select(*keys, "cuts", "total")
+    placed = counts.join(meta, _same(groups, "_m_")).drop(*[f"_m_{g}" for g in groups]).withColumn(
         "piece", F.size(F.filter("cuts", lambda c: c < F.col("value")))
     )
     wanted = F.array(
@@ -47,7 +57,7 @@ def exact_quantiles(
         ]
     )
     upto = W.partitionBy(*groups).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
-    pieces = (
+    ranges = (
         placed.groupBy(*groups, "piece", "total")
         .agg(F.sum("n").alias("size"))
         .withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
@@ -58,11 +68,12 @@ def exact_quantiles(
         )
         .groupBy(*groups, "piece", "before")
         .agg(F.collect_list("want").alias("wants"))
+        .select(*[F.col(g).alias(f"_p_{g}") for g in groups], F.col("piece").alias("_p_piece"), "before", "wants")
     )
     inside = W.partitionBy(*groups, "piece").orderBy("value")
     ranked = (
         placed.select(*groups, "piece", "value", "n")
-        .join(F.broadcast(pieces), [*groups, "piece"])
+        .join(ranges, _same([*groups, "piece"], "_p_"))
         .withColumn("last", F.col("before") + F.sum("n").over(inside))
         .withColumn("first", F.col("last") - F.col("n"))
         .withColumn("want", F.explode("wants"))
@@ -85,20 +96,30 @@ def exact_quantiles(
 
 
 def describe_by(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """count, mean, sample std, min, quartiles and max of ``value`` per small group."""
+    """count, mean, sample std, min, quartiles and max of ``value`` per group.
+
+    The input is read once, for its value counts; everything else comes from that table.
+    Groups without a value are kept with count 0.
+    """
     groups = list(groups)
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
-        *groups, F.col(value).cast("double").alias("value")
+    number = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    counts = checkpointed(
+        df.groupBy(*groups, number.alias("value")).agg(F.count(F.lit(1)).alias("n"))
     )
-    moments = clean.groupBy(*groups).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
+    filled = counts.where("value is not null")
+    means = counts.groupBy(*groups).agg(
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("count"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
+    centre = means.select(*[F.col(g).alias(f"_c_{g}") for g in groups], F.col("mean").alias("_mean"))
+    off = F.col("value") - F.col("_mean")
+    spread = filled.join(centre, _same(groups, "_c_")).groupBy(*groups).agg(
+        F.when(F.sum("n") > 1, F.sqrt(F.sum(F.col("n") * off * off) / (F.sum("n") - 1))).alias("std")
+    )
     quartiles = (
-        exact_quantiles(value_counts_by(clean, groups, "value"), groups, (0.25, 0.5, 0.75))
+        exact_quantiles(filled, groups, (0.25, 0.5, 0.75))
         .groupBy(*groups)
         .agg(
             *[
@@ -107,18 +128,19 @@ def describe_by(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
             ]
         )
     )
-    return moments.join(quartiles, groups).select(
-        *groups, "count", "mean", "std", "min", "q25", "q50", "q75", "max"
-    )
+    out = means
+    for prefix, table in (("_s_", spread), ("_q_", quartiles)):
+        named = table.select(*[F.col(c).alias(f"{prefix}{c}") if c in groups else F.col(c) for c in table.columns])
+        out = out.join(named, _same(groups, prefix), "left").drop(*[f"{prefix}{g}" for g in groups])
+    return out.select(*groups, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per numeric column."""
+    """One row per numeric column, fully null ones included unless the table is empty."""
     named = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
             for c in columns
         ]
     )
-    long = df.select(F.inline(named))
-    return describe_by(long, ["column"], "value")
+    return describe_by(df.select(F.inline(named)), ["column"], "value")

@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from opinara.session import checkpointed, fits_broadcast
+from opinara.session import checkpointed
 
-HASH_DIGITS = 3  # 4,096 groups per stratum
-MAX_STRATA = 1000
+HASH_DIGITS = 4  # 65,536 groups per stratum
 
 
 def order_key(id_col: str, seed: int) -> Column:
@@ -76,13 +75,11 @@ def mark_taken(
     keyed = _keyed(df, strata, id_col, seed)
     sizes = checkpointed(keyed.groupBy("stratum", "digits").agg(F.count(F.lit(1)).alias("size")))
     counts = sizes.groupBy("stratum").agg(F.sum("size").alias("n"))
-    if not fits_broadcast(counts, MAX_STRATA):
-        raise ValueError(f"'{strata}' has more than {MAX_STRATA} values; it is not a stratum column.")
     q = quotas(counts).select(F.col("stratum").alias("q_stratum"), F.least("quota", "n").alias("quota"))
     upto = W.partitionBy("stratum").orderBy("digits").rowsBetween(W.unboundedPreceding, -1)
     edge = (
         sizes.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-        .join(F.broadcast(q), F.col("stratum").eqNullSafe(F.col("q_stratum")))
+        .join(q, F.col("stratum").eqNullSafe(F.col("q_stratum")))
         .where((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("size")))
         .select(
             F.col("stratum").alias("e_stratum"),
@@ -93,7 +90,7 @@ def mark_taken(
     inside = W.partitionBy("stratum", "digits").orderBy("key")
     cuts = (
         keyed.join(
-            F.broadcast(edge),
+            edge,
             F.col("stratum").eqNullSafe(F.col("e_stratum")) & (F.col("digits") == F.col("e_digits")),
         )
         .withColumn("place", F.row_number().over(inside))
@@ -101,7 +98,7 @@ def mark_taken(
         .select(F.col("stratum").alias("c_stratum"), F.col("key").alias("cut"))
     )
     return (
-        df.join(F.broadcast(cuts), F.col(strata).eqNullSafe(F.col("c_stratum")), "left")
+        df.join(cuts, F.col(strata).eqNullSafe(F.col("c_stratum")), "left")
         .withColumn(flag, F.coalesce(order_key(id_col, seed) <= F.col("cut"), F.lit(False)))
         .drop("c_stratum", "cut")
     )
@@ -202,11 +199,15 @@ def rank_in_group(
         keyed.groupBy(*groups, "_digits")
         .agg(F.count(F.lit(1)).alias("_size"))
         .withColumn("_before", F.coalesce(F.sum("_size").over(upto), F.lit(0)))
-        .drop("_size")
+        .select(*[F.col(g).alias(f"_o_{g}") for g in groups], F.col("_digits").alias("_o_digits"), "_before")
     )
     inside = W.partitionBy(*groups, "_digits").orderBy("_key")
+    same = F.col("_digits") == F.col("_o_digits")
+    for g in groups:  # null is a group like any other
+        same &= F.col(g).eqNullSafe(F.col(f"_o_{g}"))
     return (
-        keyed.join(offsets, [*groups, "_digits"])
+        keyed.join(offsets, same)
+        .drop("_o_digits", *[f"_o_{g}" for g in groups])
         .withColumn(rank, F.col("_before") + F.row_number().over(inside))
         .drop("_key", "_digits", "_before")
     )

@@ -64,8 +64,7 @@ def run(
     R.write_enhanced(enhanced, f"{output_dir}/enhanced_ratings.csv")
     best = {}
     for name, search in (("nb", fitted.bayes), ("mlp", fitted.perceptron)):
-        row = M.grid_results(search, name).where("is_best").first()
-        best[name] = (row["params"], row["mean_f1"])
+        best[name] = M.best_candidate(search)
     metadata = R.run_metadata(
         reviews, subset, comparison, E.enhancement_summary(enhanced), best, config
     )

@@ -82,13 +82,13 @@ def vocab_stats(spark, sf_dir):
     return X.vocab_stats(_corpus(spark, sf_dir)[1])
 
 
-@query("vocab_topk", with_(*SQL_FITTED) + "SELECT term, tf, df FROM vocabulary ORDER BY tf DESC, term LIMIT 500")
+@query("vocab_topk", with_(*SQL_FITTED) + "SELECT term, tf, df FROM vocabulary ORDER BY tf DESC, term LIMIT 5000")
 def vocab_topk(spark, sf_dir):
     from opinara.config import TfidfConfig
 
     _, doc_terms = _corpus(spark, sf_dir)
     ids = texts(spark, sf_dir).select("review_id")
-    fitted = X.fit_vocabulary(X.vocab_stats(doc_terms), ids, TfidfConfig(max_features=500))
+    fitted = X.fit_vocabulary(X.vocab_stats(doc_terms), ids, TfidfConfig(max_features=5000))
     return fitted.select("term", "tf", "df")
 
 

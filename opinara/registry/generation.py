@@ -79,49 +79,3 @@ def prompt_build(spark, sf_dir):
     """A prompt for every text: a projection, whatever the number of rows."""
     messages = S.summary_prompt(T.fill_text("reviewText"))
     return texts(spark, sf_dir).select("review_id", F.inline(messages))
-
-
-def _first_words(x: str) -> str:
-    return f"coalesce(array_to_string({sql_tokens(x)}[1:50], ' '), '')"
-
-
-SQL_SUMMARIES = f"summaries AS (SELECT review_index, word_count, {_first_words(chr(34) + 'reviewText' + chr(34))} AS summary FROM picked)"
-
-
-def summaries(spark, sf_dir):
-    prompts = G.with_summary_prompt(G.summary_reviews(texts(spark, sf_dir)))
-    return G.generate_text(prompts, G.first_words_generator(), C.SUMMARY_TOKENS, "summary", 2)
-
-
-@query(
-    "generate_text",
-    with_(SQL_TEXTS) + f"SELECT review_id, {_first_words(RAW)} AS summary FROM texts",
-)
-def generate_text(spark, sf_dir):
-    """The generator over a prompt for every text, batch by batch."""
-    prompts = G.with_summary_prompt(
-        texts(spark, sf_dir).select("review_id", T.fill_text("reviewText").alias("reviewText"))
-    ).select("review_id", "messages")
-    return G.generate_text(prompts, G.first_words_generator(), C.SUMMARY_TOKENS, "summary")
-
-
-@query(
-    "first_two",
-    with_(SQL_TEXTS, *SQL_PICKED, SQL_SUMMARIES)
-    + "SELECT review_index, word_count, summary FROM summaries WHERE review_index < 2",
-)
-def first_two(spark, sf_dir):
-    return summaries(spark, sf_dir).where("review_index < 2").select(
-        "review_index", "word_count", "summary"
-    )
-
-
-@query(
-    "summary_length_check",
-    with_(SQL_TEXTS, *SQL_PICKED, SQL_SUMMARIES)
-    + f"SELECT review_index, {sql_word_count('summary')} AS summary_words, {sql_word_count('summary')} > 50 AS too_long FROM summaries",
-)
-def summary_length_check(spark, sf_dir):
-    return G.summary_length_check(summaries(spark, sf_dir)).select(
-        "review_index", "summary_words", "too_long"
-    )

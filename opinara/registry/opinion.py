@@ -207,17 +207,34 @@ def enhance_confidence(spark, sf_dir):
     )
 
 
+# Reviews whose stars and words contradict each other, and some that agree.
+ALPHA_EDGES = (
+    (-201, 5.0, "stupid trash worthless pathetic disgusting loser moron scum idiot bad"),
+    (-202, 1.0, "great good love great good love great good love like"),
+    (-203, 5.0, "great good love"),
+    (-204, 1.0, "bad trash"),
+    (-205, 5.0, "bad"),
+    (-206, None, "bad"),
+)
+_ALPHA_VALUES = ", ".join(f"({i}, {'NULL' if o is None else o}::DOUBLE, '{t}')" for i, o, t in ALPHA_EDGES)
 SQL_ALPHA = (
-    SQL_ENHANCED.rstrip()
+    with_(
+        SQL_RATED,
+        f'joined AS (SELECT review_id, overall, "reviewText" FROM rated UNION ALL VALUES {_ALPHA_VALUES})',
+        SQL_LEXICON,
+        sql_marked("joined", "overall"),
+        sql_scores("marked", "review_neg", "overall"),
+        "enhanced AS (SELECT review_id, overall, compound FROM scored)",
+    ).rstrip()
     + ", alpha AS (SELECT review_id, overall, round((0.6 * (overall - 1) / 4 + (1 - 0.6) * (compound + 1) / 2) * 4 + 1, 4) AS enhanced_rating FROM enhanced), "
     "alpha_diff AS (SELECT *, abs(enhanced_rating - overall) AS rating_diff FROM alpha) "
 )
 
 
 def alpha_reviews(spark, sf_dir):
-    marked = rated_reviews(spark, sf_dir).select(
-        "review_id", "overall", T.prepare_training(F.col("reviewText")).alias("review_neg")
-    )
+    edges = spark.createDataFrame(list(ALPHA_EDGES), "review_id bigint, overall double, reviewText string")
+    rated = rated_reviews(spark, sf_dir).select("review_id", "overall", "reviewText").unionByName(edges)
+    marked = rated.select("review_id", "overall", T.prepare_training(F.col("reviewText")).alias("review_neg"))
     scored = L.lexicon_scores(
         marked, built_in_lexicon(spark), "review_neg", keep=["overall"], bounded=True
     )
@@ -237,11 +254,11 @@ def enhance_alpha(spark, sf_dir):
 @query(
     "high_disagreement",
     SQL_ALPHA
-    + "SELECT review_id, overall, enhanced_rating, round(rating_diff, 6) AS rating_diff FROM alpha_diff WHERE rating_diff > 0.5",
+    + "SELECT review_id, overall, enhanced_rating, round(rating_diff, 6) AS rating_diff FROM alpha_diff WHERE rating_diff > 1.5",
 )
 def high_disagreement(spark, sf_dir):
-    """Threshold 0.5 here: stars and the small lexicon rarely differ by 1.5 in this data."""
-    return E.high_disagreement(alpha_reviews(spark, sf_dir), 0.5).select(
+    """Stars against the text; the appended reviews lie on both sides of the threshold."""
+    return E.high_disagreement(alpha_reviews(spark, sf_dir)).select(
         "review_id", "overall", "enhanced_rating", F.round("rating_diff", 6).alias("rating_diff")
     )
 
@@ -263,10 +280,10 @@ def top_disagreement(spark, sf_dir):
 
 @query(
     "count_disagreement",
-    SQL_ALPHA + "SELECT count(*) FILTER (WHERE rating_diff > 0.5) AS n FROM alpha_diff",
+    SQL_ALPHA + "SELECT count(*) FILTER (WHERE rating_diff > 1.5) AS n FROM alpha_diff",
 )
 def count_disagreement(spark, sf_dir):
-    return count_long(alpha_reviews(spark, sf_dir), F.col("rating_diff") > 0.5)
+    return count_long(alpha_reviews(spark, sf_dir), F.col("rating_diff") > 1.5)
 
 
 @query(

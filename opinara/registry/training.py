@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from opinara.config import RunConfig, TfidfConfig
+from opinara.config import RunConfig
 from opinara.operators import evaluate as V
 from opinara.operators import models as M
 from opinara.registry.base import query
@@ -16,14 +16,8 @@ from opinara.registry.sampling import split_rows
 from opinara.session import scratch_path
 from opinara.sources.reviews import documents
 
-# Small search space: the same code path at a cost a check can afford.
-CONFIG = RunConfig(
-    nb_alphas=(0.1, 1.0),
-    mlp_hidden=((8,),),
-    mlp_max_iter=(15, 30),
-    n_folds=3,
-    tfidf=TfidfConfig(max_features=500),
-)
+# The full search space; candidates and folds are fitted side by side.
+CONFIG = RunConfig(parallelism=8)
 
 
 def split_documents(spark, sf_dir, part):

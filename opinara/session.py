@@ -9,10 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows up to which a lookup table may be replicated to every executor.
-BROADCAST_ROWS = 200_000
-SALTS = 32
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors can reach.
@@ -47,30 +43,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Measured size check; stops counting one row past the bound."""
-    return table.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup_join(
-    rows: DataFrame,
-    table: DataFrame,
-    key: str,
-    how: str = "left",
-    spread: str = "pos",
-    bounded: bool = False,
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left", bounded: bool = False) -> DataFrame:
     """Join a large token stream with a lookup table.
 
-    ``bounded=True`` is for tables whose size is fixed by construction.  Other tables
-    are counted first; beyond ``max_rows`` both sides are spread over salts, so that one
-    very frequent token does not end up in a single task.
+    ``bounded=True`` is for tables whose size is fixed by construction.  For any other the
+    measured size decides at run time (`spark.sql.autoBroadcastJoinThreshold`, in bytes), and
+    the partition of a very frequent token is split by the adaptive skew join.
     """
-    if bounded or fits_broadcast(table, max_rows):
-        return rows.join(F.broadcast(table), key, how)
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(key, spread), F.lit(SALTS)))
-    salted_table = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    )
-    return salted_rows.join(salted_table, [key, "_salt"], how).drop("_salt")
+    return rows.join(F.broadcast(table) if bounded else table, key, how)

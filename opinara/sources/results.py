@@ -43,6 +43,10 @@ def counts_map(df: DataFrame, column: str) -> Column:
     return counts.agg(F.map_from_entries(F.array_sort(entries))).scalar()
 
 
+def _text_map(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(str(x)) for pair in sorted(values.items()) for x in pair])
+
+
 def _count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
@@ -52,7 +56,7 @@ def run_metadata(
     split: DataFrame,
     comparison: DataFrame,
     enhanced_summary: DataFrame,
-    best: dict[str, tuple[str, float]],
+    best: dict[str, tuple[dict[str, str], float]],
     config: RunConfig = RunConfig(),
 ) -> DataFrame:
     """The nested record of a run as one row.
@@ -86,10 +90,13 @@ def run_metadata(
             value.alias(name)
             for model in ("nb", "mlp")
             for value, name in (
-                (F.lit(best[model][0]), f"{model}_best_params"),
+                (_text_map(best[model][0]), f"{model}_best_params"),
                 (F.lit(float(best[model][1])), f"{model}_best_cv_f1"),
             )
         ],
+        F.struct(F.lit("confidence_weighted").alias("name"), *[F.lit(v).alias(k) for k, v in weights.items()]).alias(
+            "rating_enhancement_method"
+        ),
         F.struct(*enhanced_summary.columns).alias("rating_enhancement_summary"),
         results.alias("results"),
     )

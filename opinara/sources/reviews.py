@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinara.session import checkpointed
+
 REVIEW_SCHEMA = T.StructType(
     [
         T.StructField("overall", T.DoubleType()),
@@ -25,34 +27,21 @@ def scan_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW_S
 def with_review_id(df: DataFrame, name: str = "review_id") -> DataFrame:
     """A unique key for sources without one.
 
-    The position part follows the file splits: write the result once and read it back
-    before sampling if the source files or the split size may change between jobs.
+    The position part follows the file splits, which depend on the cluster.  So the keyed
+    table is written to the shared folder here, and all later steps read the same keys.
     """
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
     content = F.sha2(F.concat_ws("\x1f", *parts), 256)
-    return df.withColumn(name, F.concat_ws("-", content, F.monotonically_increasing_id()))
+    return checkpointed(df.withColumn(name, F.concat_ws("-", content, F.monotonically_increasing_id())))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a scan with fewer splits than cores.
-
-    Such a scan is small by construction (cores x split size), and hashing by the review
-    key serves later groupings by that key.  Larger scans are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` in review columns, without a rating; one scan, no join."""
-    d = spread(table(spark, sf_dir, "documents").drop("lang", "n_chars"), "doc_id")
-    return d.select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("review_id"),
         F.col("text").alias("reviewText"),
         F.col("source").alias("asin"),

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara.functions import constants as C
 from opinara.operators import generate as G
@@ -31,6 +32,26 @@ def test_json_forms_agree(spark, tmp_path, content):
     assert fmt == "json" and sorted(r["text"] for r in df.collect()) == sorted(TEXTS)
 
 
+def test_json_folder_of_mixed_forms(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    _write(folder / "a.json", json.dumps([{"text": "p"}, {"text": "q"}], indent=1))
+    _write(folder / "b.json", "\n".join(json.dumps({"text": t}) for t in TEXTS))
+    _write(folder / "c.json", '[{"text": "x", "tags": ["p", "q"]}\n, {"text": "y", "tags": []}]')
+    schema = T.StructType([T.StructField("text", T.StringType())])
+    for given in (None, schema):
+        rows = files.read_json(spark, str(folder), given).collect()
+        assert sorted(r["text"] for r in rows) == sorted([*TEXTS, "p", "q", "x", "y"])
+
+
+@pytest.mark.parametrize("content", ['{"text": "a"}\n{"text": ', '[{"text": "a"}, {"text": ]', "not json"])
+def test_malformed_json_is_an_error(spark, tmp_path, content):
+    schema = T.StructType([T.StructField("text", T.StringType())])
+    path = _write(tmp_path / "bad.json", content)
+    with pytest.raises(Exception, match="(?i)malformed|parse|corrupt"):
+        files.read_json(spark, path, schema).collect()
+
+
 def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
     path = _write(tmp_path / "a.csv", 'id,text\n1,"two\nlines"\n2,"say ""hi"""\n3,\n')
     rows = {r["id"]: r["text"] for r in files.read_csv(spark, path).collect()}

@@ -9,6 +9,7 @@ from opinara.functions.constants import CLASSES
 from opinara.operators import models as M
 from opinara.plans.classify import classify_path
 from opinara.plans.train import run
+from opinara.sources.files import read_csv
 from opinara.sources.lexicon import built_in_lexicon
 from opinara.streaming.score import score_stream
 
@@ -79,3 +80,37 @@ def test_stream_equals_batch(spark, trained, tmp_path):
     streamed = spark.read.json(str(tmp_path / "out"))
     batch = M.classify_frame(spark.read.schema(schema).json(str(source)), model)
     assert sorted(map(tuple, streamed.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_uploads_with_working_column_names(spark, trained):
+    model = PipelineModel.load(f"{trained[0]}/model")
+    names = ["features", "review_length", "_counts", "nb_index", "exclamation_count", "_input_text", "nb.raw"]
+    df = spark.createDataFrame([("love this great card", *range(len(names)))], ["text", *names])
+    row = M.classify_frame(df, model).first()
+    assert [row[n] for n in names] == list(range(len(names))) and row["nb_sentiment"] == "Positive"
+
+
+def test_csv_stream_with_quotes_and_nulls(spark, trained, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.csv").write_text('id,text,note\n1,"he said ""love, it"" twice",\n2," two\nlines ",x\n3,,y\n', encoding="utf-8")
+    model = PipelineModel.load(f"{trained[0]}/model")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("note", T.StringType())])
+    batch = M.classify_frame(read_csv(spark, str(source), schema), model)
+    for fmt in ("csv", "json"):
+        out = str(tmp_path / f"out-{fmt}")
+        score_stream(spark, model, str(source), schema, out, str(tmp_path / f"state-{fmt}"), "csv", requested_format=fmt).awaitTermination()
+        back = read_csv(spark, out, batch.schema) if fmt == "csv" else spark.read.schema(batch.schema).json(out)
+        assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
+
+
+def test_stream_of_json_arrays(spark, trained, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text(json.dumps([{"text": "love"}, {"text": "awful"}], indent=2), encoding="utf-8")
+    (source / "b.json").write_text('{"text": "okay"}\n\n{"text": "card"}\n', encoding="utf-8")
+    (source / "c.json").write_text(json.dumps({"text": "one"}, indent=1), encoding="utf-8")
+    schema = T.StructType([T.StructField("text", T.StringType())])
+    out = str(tmp_path / "out")
+    score_stream(spark, PipelineModel.load(f"{trained[0]}/model"), str(source), schema, out, str(tmp_path / "state")).awaitTermination()
+    assert sorted(r["text"] for r in spark.read.json(out).collect()) == ["awful", "card", "love", "okay", "one"]

@@ -130,12 +130,12 @@ def test_duplicates_treat_nulls_as_equal(spark):
     assert (row["duplicates"], row["rows_involved"]) == (1, 2)
 
 
-def test_lookup_join_beyond_the_broadcast_bound(spark):
+def test_lookup_join_of_any_table(spark):
     rows = spark.createDataFrame([(i, "the" if i % 3 else f"t{i}") for i in range(300)], "review_id int, token string")
     table = spark.createDataFrame([("the", 1.0), ("t3", 2.0)], "token string, valence double")
-    small = lookup_join(rows, table, "token", spread="review_id")
-    salted = lookup_join(rows, table, "token", spread="review_id", max_rows=1)
-    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, salted.select(small.columns).collect()), key=str)
+    small = lookup_join(rows, table, "token", bounded=True)
+    free = lookup_join(rows, table, "token")
+    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, free.select(small.columns).collect()), key=str)
 
 
 def test_rules(spark):
@@ -194,3 +194,21 @@ def test_generation(spark):
     with pytest.raises(ValueError):
         generate.first_row(generate.question_reviews(df.where("review_id < 5")), require=True)
     assert generate.last_message([{"generated_text": "  plain "}]) == "plain"
+
+
+def test_many_strata_and_groups(spark):
+    df = spark.range(6000).select("id", (F.col("id") % 1500).alias("g"), (F.col("id") * 1.0).alias("v")).withColumnRenamed("id", "review_id")
+    split = sampling.split_stratified(df, 0.25, "g")
+    assert {r["n"] for r in split.where("split = 'train'").groupBy("g").agg(F.count("*").alias("n")).collect()} == {3}
+    assert profile.box_statistics(df, "g", "v").count() == 1500
+
+
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0), (3, None, 4.0), (4, "a", None)], "review_id int, g string, v double")
+    ranks = sampling.rank_in_group(df, ["g"]).collect()
+    assert sorted((r["g"] or "", r["rn"]) for r in ranks) == [("", 1), ("", 2), ("a", 1), ("a", 2)]
+    assert sampling.assign_folds(df, 2, "g").count() == 4
+    rows = {r["g"]: r for r in quantiles.describe_by(df, ["g"], "v").collect()}
+    assert rows[None]["mean"] == 3.0 and rows["a"]["count"] == 1 and rows["a"]["std"] is None
+    empty = quantiles.describe(df.withColumn("w", F.lit(None).cast("double")), ["v", "w"])
+    assert {r["column"]: r["count"] for r in empty.collect()} == {"v": 3, "w": 0}
