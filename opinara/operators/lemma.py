@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import constants as C
@@ -45,20 +47,30 @@ def lemma_map(vocab: DataFrame) -> DataFrame:
     )
 
 
+def _may_change(token: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.endswith(token, F.lit(ending)) for ending, _ in C.NOUN_RULES])
+
+
 def lemmatize(df: DataFrame, tokens_col: str, lemmas: DataFrame, id_col: str = "review_id") -> DataFrame:
-    """(id, tokens) with every token replaced by its lemma, order kept.
+    """``df`` with every token replaced by its lemma, order and all other columns kept.
 
-    The lemma table grows with the vocabulary: it is written once, counted, and only then
-    broadcast or spread over salts.
+    Only the different tokens of a row that end like a rule leave the row: they meet the lemma
+    table, and the changes come back as one small map per row.  ``id_col`` must be unique.
     """
-    stream = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    joined = lookup_join(stream, checkpointed(lemmas), "token", "left")
-    ordered = F.array_sort(
-        F.collect_list(
-            F.when(
-                F.col("pos").isNotNull(),
-                F.struct("pos", F.coalesce("lemma", "token").alias("lemma")),
-            )
-        )
+    endings = F.array_distinct(F.filter(tokens_col, _may_change))
+    asked = df.select(F.col(id_col).alias("_lemma_id"), F.explode(endings).alias("token"))
+    pairs = lookup_join(asked, lemmas, "token", "inner").groupBy("_lemma_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_lemmas")
     )
-    return joined.groupBy(id_col).agg(F.transform(ordered, lambda s: s["lemma"]).alias(tokens_col))
+    joined = df.join(pairs, F.col(id_col) == F.col("_lemma_id"), "left")
+    changed = F.transform(
+        tokens_col,
+        lambda w: F.when(_may_change(w), F.coalesce(F.try_element_at(F.col("_lemmas"), w), w)).otherwise(w),
+    )
+    tokens = F.when(F.col("_lemmas").isNull(), F.col(tokens_col)).otherwise(changed)
+    return joined.withColumn(tokens_col, tokens).drop("_lemma_id", "_lemmas")
+
+
+def fit_lemmas(df: DataFrame, tokens_col: str) -> DataFrame:
+    """The lemma table of a corpus, written once because every use reads it."""
+    return checkpointed(lemma_map(vocabulary(df, tokens_col)))

@@ -8,8 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     IndexToString,
     Normalizer,
@@ -25,7 +24,7 @@ from opinara.config import RunConfig, TfidfConfig
 from opinara.functions import constants as C
 from opinara.functions import scores as S
 from opinara.functions import text as T
-from opinara.operators.features import NUMERIC_FEATURES
+from opinara.operators.features import NUMERIC_FEATURES, fit_vocabulary, vocab_stats
 from opinara.operators.sampling import assign_folds
 from opinara.operators.transformers import (
     CLEANED,
@@ -58,26 +57,24 @@ def fit_features(
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit text features on training rows; returns the stages and the featurised rows.
 
-    Driver-side values are the vocabulary (bounded by ``max_features``), its idf vector
-    and six scaling limits.
+    Driver-side values are the vocabulary (bounded by ``max_features``) with its idf, the lemma
+    table of the training rows, and six scaling limits.
     """
     reader = ReviewText(inputCol=text_col, profile=profile)
+    reader = ReviewText(inputCol=text_col, profile=profile, lemmas=reader.lemma_table(train))
     prepared = reader.transform(train).persist()
     limits_row = prepared.agg(
         *[F.min(c).alias(f"{c}_lo") for c in NUMERIC_FEATURES],
         *[F.max(c).alias(f"{c}_hi") for c in NUMERIC_FEATURES],
     ).first()
     limits = {c: (float(limits_row[f"{c}_lo"]), float(limits_row[f"{c}_hi"])) for c in NUMERIC_FEATURES}
-    counter = CountVectorizer(
-        inputCol=TERMS,
-        outputCol="_counts",
-        minDF=float(config.min_df),
-        maxDF=float(config.max_df),
-        vocabSize=config.max_features,
-    ).fit(prepared)
-    counted = counter.transform(prepared)
-    idf = IDF(inputCol="_counts", outputCol="_unused").fit(counted)
-    weights = Vectors.dense([v + 1.0 for v in idf.idf])
+    # The relational vocabulary has a rule for equal frequencies.
+    doc_terms = prepared.select(F.inline(T.term_counts(F.col(TERMS))))
+    vocabulary = fit_vocabulary(vocab_stats(doc_terms), prepared, config).collect()
+    if not vocabulary:
+        raise ValueError("no term of the training rows lies within the frequency limits")
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in vocabulary], inputCol=TERMS, outputCol="_counts")
+    weights = Vectors.dense([r["idf"] for r in vocabulary])
     stages = [
         reader,
         counter,

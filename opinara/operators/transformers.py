@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from opinara.functions import constants as C
 from opinara.functions import text as T
 from opinara.operators.features import with_numeric_features
+from opinara.operators.lemma import lemma_map, vocabulary
 
 MARKED, CLEANED, TERMS = "_marked", "_cleaned", "_terms"
 
@@ -29,26 +30,48 @@ class ReviewText(Transformer, HasInputCol, DefaultParamsReadable, DefaultParamsW
 
     profile = Param(Params._dummy(), "profile", "training or serving", TypeConverters.toString)
 
+    lemmas = Param(Params._dummy(), "lemmas", "token to lemma, of the training rows", TypeConverters.identity)
+
     @keyword_only
-    def __init__(self, inputCol: str = "reviewText", profile: str = "training"):
+    def __init__(self, inputCol: str = "reviewText", profile: str = "training", lemmas: dict[str, str] | None = None):
         super().__init__()
-        self._setDefault(inputCol="reviewText", profile="training")
+        self._setDefault(inputCol="reviewText", profile="training", lemmas={})
         self._set(**self._input_kwargs)
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
+    def lemma_table(self, train: DataFrame) -> dict[str, str]:
+        """Lemmas of the training rows' tokens, as large as their vocabulary allows."""
+        tokens = self._cleaned(train).select(F.split(CLEANED, " ").alias("ws"))
+        return dict(map(tuple, lemma_map(vocabulary(tokens, "ws")).collect()))
+
+    def _cleaned(self, dataset: DataFrame) -> DataFrame:
         text = F.col(self.getInputCol())
         serving = self.getOrDefault(self.profile) == "serving"
         marked = T.prepare_serving(text) if serving else T.prepare_training(text)
         keep = ("not", "no") if serving else C.NEGATORS
-        prepared = dataset.withColumn(MARKED, marked).withColumn(
-            CLEANED, T.clean_text(F.col(MARKED), keep_words=keep, collapsed=True)
-        )
+        cleaned = T.clean_text(F.col(MARKED), keep_words=keep, collapsed=True)
+        return dataset.withColumn(MARKED, marked).withColumn(CLEANED, cleaned)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        prepared = self._cleaned(dataset)
+        lemmas = self.getOrDefault(self.lemmas)
+        if lemmas:
+            prepared = prepared.withColumn(CLEANED, _lemmatized(lemmas)(F.col(CLEANED)))
         counted = with_numeric_features(prepared, MARKED, CLEANED)
         # One generated row per input row: the text steps stay in their own operator and
         # the vector stages below read a plain column.
         return counted.select("*", F.inline(F.array(F.struct(T.terms(F.col(CLEANED)).alias(TERMS)))))
 
 
+def _lemmatized(lemmas: dict[str, str]):
+    """Cleaned text with each token replaced by its lemma, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def replace(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join([lemmas.get(w, w) for w in t.split(" ")]), na_action="ignore")
+
+    return replace
+
+
 @F.pandas_udf(VectorUDT())
 def _damp(counts: pd.DataFrame) -> pd.DataFrame:
     """1 + ln(count) on the stored entries of a batch of sparse vectors."""
@@ -60,7 +83,7 @@ def _damp(counts: pd.DataFrame) -> pd.DataFrame:
 
 
 class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Logarithmic term frequency; the only Python step of the scoring path, in Arrow batches."""
+    """Logarithmic term frequency, in Arrow batches."""
 
     @keyword_only
     def __init__(self, inputCol: str = "_counts", outputCol: str = "_damped"):

@@ -13,6 +13,7 @@ from opinara.operators import evaluate as V
 from opinara.operators import lexicon as L
 from opinara.operators import models as M
 from opinara.operators import sampling
+from opinara.operators.transformers import CLEANED
 from opinara.session import checkpointed
 from opinara.sources import results as R
 
@@ -48,9 +49,8 @@ def run(
     fitted = M.train_models(train, config=config)
     fitted.model.write().overwrite().save(f"{output_dir}/model")
 
-    prepared = test.withColumn("_marked", T.prepare_training(F.col("reviewText"))).select(
-        "review_id", T.clean_text(F.col("_marked"), collapsed=True).alias("cleaned_text")
-    )
+    # The lexicons read the same cleaned text as the classifiers.
+    prepared = fitted.features.stages[0].transform(test).select("review_id", F.col(CLEANED).alias("cleaned_text"))
     opinions = L.predict_from_scores(L.lexicon_scores(prepared, lexicon, "cleaned_text"))
     predicted = M.classify_frame(test, fitted.model).join(
         opinions.select("review_id", "vader", "textblob"), "review_id"

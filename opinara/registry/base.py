@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import constants as C
 from opinara.functions import text as T
+from opinara.operators.lemma import fit_lemmas, lemmatize
 from opinara.sources.lexicon import OPINION_WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,11 +63,18 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cleaned(df: DataFrame) -> DataFrame:
-    """Training-profile text columns."""
-    return df.withColumn("review_neg", T.prepare_training(F.col("reviewText"))).withColumn(
-        "cleaned_text", T.clean_text(F.col("review_neg"), collapsed=True)
-    )
+def corpus_lemmas(df: DataFrame) -> DataFrame:
+    """The lemma table of the cleaned tokens of these rows."""
+    marked = T.prepare_training(F.col("reviewText"))
+    return fit_lemmas(df.select(T.clean_tokens(marked, collapsed=True).alias("ws")), "ws")
+
+
+def cleaned(df: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """Training-profile text columns, with the lemma table of these rows unless one is given."""
+    tokens = T.clean_tokens(F.col("review_neg"), collapsed=True)
+    d = df.withColumn("review_neg", T.prepare_training(F.col("reviewText"))).withColumn("_ws", tokens)
+    d = lemmatize(d, "_ws", corpus_lemmas(df) if lemmas is None else lemmas)
+    return d.withColumn("cleaned_text", T.join_tokens(F.col("_ws"))).drop("_ws")
 
 
 def literal(value: str | None) -> str:
@@ -147,12 +155,30 @@ def sql_clean_expr(x: str, keep=C.NEGATORS, mode: str = "keep_exclaim") -> str:
     )
 
 
+def sql_stripped(source: str, carry: str = "", name: str = "stripped") -> str:
+    """CTEs up to stripped(review_id, carry, review_neg, cleaned_text): cleaning before lemmas."""
+    c = f", {carry}" if carry else ""
+    return (
+        sql_marked(source, carry)
+        + f", {name} AS (SELECT review_id{c}, review_neg, {sql_clean_expr('review_neg')} AS cleaned_text FROM marked)"
+    )
+
+
 def sql_cleaned(source: str, carry: str = "") -> str:
     """CTEs up to cleaned(review_id, carry, review_neg, cleaned_text)."""
     c = f", {carry}" if carry else ""
+    rules = ", ".join(f"('{a}', '{b}')" for a, b in C.NOUN_RULES)
     return (
-        sql_marked(source, carry)
-        + f", cleaned AS (SELECT review_id{c}, review_neg, {sql_clean_expr('review_neg')} AS cleaned_text FROM marked)"
+        sql_stripped(source, carry)
+        + ", l_toks AS (SELECT review_id, regexp_extract_all(cleaned_text, '[^ ]+') AS ws FROM stripped), "
+        "l_vocab AS (SELECT DISTINCT unnest(ws) AS token FROM l_toks), "
+        f"l_rules(ending, repl) AS (VALUES {rules}), "
+        "l_cand AS (SELECT token, concat(left(token, length(token) - length(ending)), repl) AS lemma FROM l_vocab JOIN l_rules ON ends_with(token, ending)), "
+        "l_ok AS (SELECT c.token, c.lemma FROM l_cand c WHERE c.lemma <> '' AND c.lemma IN (SELECT token FROM l_vocab)), "
+        "l_map AS (SELECT token, lemma FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY length(lemma), lemma) AS r FROM l_ok) WHERE r = 1), "
+        "l_stream AS (SELECT review_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM l_toks), "
+        "l_text AS (SELECT review_id, string_agg(coalesce(lemma, token), ' ' ORDER BY pos) AS lemmas FROM l_stream LEFT JOIN l_map USING (token) GROUP BY review_id), "
+        f"cleaned AS (SELECT s.review_id{c}, review_neg, coalesce(lemmas, '') AS cleaned_text FROM stripped s LEFT JOIN l_text USING (review_id))"
     )
 
 

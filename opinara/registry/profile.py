@@ -19,6 +19,7 @@ from opinara.registry.base import (
     sql_cleaned,
     sql_word_count,
     cleaned,
+    corpus_lemmas,
     texts,
     with_,
 )
@@ -376,9 +377,9 @@ def select_numeric_cols(spark, sf_dir):
     + 'SELECT review_id, "reviewText", cleaned_text FROM cleaned ORDER BY review_id LIMIT 5',
 )
 def project_preview(spark, sf_dir):
-    """Cleans only the five rows that survive the limit."""
-    first = texts(spark, sf_dir).orderBy("review_id").limit(5)
-    return cleaned(first).select("review_id", "reviewText", "cleaned_text")
+    """Cleans only the five rows that survive the limit, with the corpus's lemma table."""
+    rows = texts(spark, sf_dir)
+    return cleaned(rows.orderBy("review_id").limit(5), corpus_lemmas(rows)).select("review_id", "reviewText", "cleaned_text")
 
 
 @query(

@@ -19,6 +19,7 @@ from opinara.registry.base import (
     query,
     sql_clean_expr,
     sql_cleaned,
+    sql_stripped,
     sql_exclaims,
     sql_marked,
     sql_tokens,
@@ -226,7 +227,7 @@ def rejected_text(spark, sf_dir):
 
 
 _TOKENS_CTE = (
-    "toks AS (SELECT review_id, regexp_extract_all(cleaned_text, '[^ ]+') AS ws FROM cleaned), "
+    "toks AS (SELECT review_id, regexp_extract_all(cleaned_text, '[^ ]+') AS ws FROM stripped), "
     "vocab AS (SELECT DISTINCT unnest(ws) AS token FROM toks)"
 )
 _RULES = ", ".join(f"('{a}', '{b}')" for a, b in C.NOUN_RULES)
@@ -243,7 +244,7 @@ def _clean_tokens(spark, sf_dir):
     return texts(spark, sf_dir).select("review_id", T.clean_tokens(marked, collapsed=True).alias("ws"))
 
 
-@query("lemma_map", with_(SQL_TEXTS, sql_cleaned("texts"), _TOKENS_CTE, _LEMMA_CTE) + "SELECT token, lemma FROM lemma_map")
+@query("lemma_map", with_(SQL_TEXTS, sql_stripped("texts"), _TOKENS_CTE, _LEMMA_CTE) + "SELECT token, lemma FROM lemma_map")
 def lemma_map(spark, sf_dir):
     return L.lemma_map(L.vocabulary(_clean_tokens(spark, sf_dir), "ws"))
 
@@ -251,28 +252,27 @@ def lemma_map(spark, sf_dir):
 _LEMMATIZE_SQL = (
     with_(
         SQL_TEXTS,
-        sql_cleaned("texts"),
+        sql_stripped("texts"),
         _TOKENS_CTE,
         _LEMMA_CTE,
         "stream AS (SELECT review_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM toks)",
         "looked AS (SELECT review_id, string_agg(coalesce(lemma, token), ' ' ORDER BY pos) AS lemmas FROM stream LEFT JOIN lemma_map USING (token) GROUP BY review_id)",
     )
-    + "SELECT c.review_id, coalesce(lemmas, '') AS lemmas FROM cleaned c LEFT JOIN looked USING (review_id)"
+    + "SELECT c.review_id, coalesce(lemmas, '') AS lemmas FROM stripped c LEFT JOIN looked USING (review_id)"
 )
 
 
 @query("lemmatize", _LEMMATIZE_SQL)
 def lemmatize(spark, sf_dir):
     toks = _clean_tokens(spark, sf_dir)
-    lemmas = L.lemma_map(L.vocabulary(toks, "ws"))
-    return L.lemmatize(toks, "ws", lemmas).select(
+    return L.lemmatize(toks, "ws", L.fit_lemmas(toks, "ws")).select(
         "review_id", T.join_tokens(F.col("ws")).alias("lemmas")
     )
 
 
 @query(
     "lemma_lookup",
-    with_(SQL_TEXTS, sql_cleaned("texts"), _TOKENS_CTE, _LEMMA_CTE, "stream AS (SELECT unnest(ws) AS token FROM toks)")
+    with_(SQL_TEXTS, sql_stripped("texts"), _TOKENS_CTE, _LEMMA_CTE, "stream AS (SELECT unnest(ws) AS token FROM toks)")
     + "SELECT coalesce(lemma, token) AS lemma, count(*) AS n FROM stream LEFT JOIN lemma_map USING (token) GROUP BY 1",
 )
 def lemma_lookup(spark, sf_dir):
