@@ -29,22 +29,38 @@ def lookup_text(single: Column) -> Column:
     return F.regexp_replace(F.lower(single), EDGE_RUNS, "")
 
 
-def token_stream(df: DataFrame, text_col: str, id_col: str = "review_id", keep: Sequence[str] = ()) -> DataFrame:
-    """(id, kept narrow columns, n_words, token); reviews without tokens keep one null row."""
+def _words(lexicon: DataFrame, bounded: bool) -> list[str] | None:
+    """The words of a lexicon of fixed size, so that other tokens can be left where they are."""
+    return sorted({r["token"] for r in lexicon.select("token").collect()}) if bounded else None
+
+
+def token_stream(
+    df: DataFrame, text_col: str, id_col: str = "review_id", keep: Sequence[str] = (), words: list[str] | None = None
+) -> DataFrame:
+    """(id, kept narrow columns, n_words, token); reviews without tokens keep one null row.
+
+    Where ``words`` are given, only those tokens leave the row.
+    """
     single = df.select(id_col, *keep, T.collapse_blanks(T.fill_text(text_col)).alias("_single"))
     # The count is finished before the explode, so no text travels with the tokens.
     per_review = single.select(
         id_col,
         *keep,
         T.word_count(F.col("_single"), collapsed=True).alias("n_words"),
-        T.tokens(lookup_text(F.col("_single")), collapsed=True).alias("_tokens"),
+        _among(T.tokens(lookup_text(F.col("_single")), collapsed=True), words).alias("_tokens"),
     )
     return per_review.select(id_col, *keep, "n_words", F.explode_outer("_tokens").alias("token"))
 
 
+def _among(tokens: Column, words: list[str] | None) -> Column:
+    return tokens if words is None else F.filter(tokens, lambda w: w.isin(*words))
+
+
 def lexicon_hits(df: DataFrame, lexicon: DataFrame, text_col: str, id_col: str = "review_id", bounded: bool = False) -> DataFrame:
     """One row per lexicon word occurrence."""
-    return lookup_join(token_stream(df, text_col, id_col), lexicon, "token", "inner", bounded=bounded)
+    return lookup_join(
+        token_stream(df, text_col, id_col, words=_words(lexicon, bounded)), lexicon, "token", "inner", bounded=bounded
+    )
 
 
 def lexicon_scores(
@@ -61,7 +77,8 @@ def lexicon_scores(
     were read (partial aggregation) and one narrow row per review is exchanged.  A kept
     column is carried next to each token, so only narrow columns belong in ``keep``.
     """
-    stream = lookup_join(token_stream(df, text_col, id_col, keep), lexicon, "token", bounded=bounded)
+    stream = token_stream(df, text_col, id_col, keep, _words(lexicon, bounded))
+    stream = lookup_join(stream, lexicon, "token", bounded=bounded)
     return (
         stream.groupBy(id_col)
         .agg(
@@ -121,10 +138,16 @@ def rule_scores(
         F.split(F.lower("text"), " ").alias("low"),
     )
 
-    def with_context(key: Column, i: Column) -> Column:
+    words = _words(lexicon, bounded)
+    placed = F.transform("keys", lambda key, i: F.struct(key.alias("token"), i.alias("pos")))
+    if words is not None:
+        placed = F.filter(placed, lambda x: x["token"].isin(*words))
+
+    def with_context(x: Column) -> Column:
+        i = x["pos"]
         return F.struct(
             i.alias("pos"),
-            key.alias("token"),
+            x["token"].alias("token"),
             F.get("ws", i).alias("word"),
             F.get("ws", i - 1).alias("w1"),
             F.get("ws", i - 2).alias("w2"),
@@ -138,7 +161,7 @@ def rule_scores(
             "exclaims",
             ((F.col("n_upper") > 0) & (F.col("n_upper") < F.size("ws"))).alias("mixed_case"),
             (F.nullif(F.array_position("low", "but"), F.lit(0)) - 1).alias("but_at"),
-            F.transform("keys", with_context).alias("contexts"),
+            F.transform(placed, with_context).alias("contexts"),
         )
         .select(id_col, "exclaims", "mixed_case", "but_at", F.explode_outer("contexts").alias("c"))
         .select(id_col, "exclaims", "mixed_case", "but_at", "c.*")
