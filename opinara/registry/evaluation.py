@@ -20,6 +20,7 @@ from opinara.registry.base import (
     with_,
 )
 from opinara.registry.features import SQL_BAYES, bayes_predictions
+from opinara.session import checkpointed
 from opinara.sources.lexicon import built_in_lexicon
 from opinara.sources.reviews import rated_reviews
 
@@ -182,7 +183,7 @@ def write_class_report(spark, sf_dir):
 )
 def zip_predictions(spark, sf_dir):
     """Predictions scored separately are paired by key."""
-    both = lexicon_predictions(spark, sf_dir)
+    both = checkpointed(lexicon_predictions(spark, sf_dir))
     return both.select("review_id", "vader").join(both.select("review_id", "textblob"), "review_id")
 
 

@@ -69,9 +69,11 @@ def _corpus(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    docs, doc_terms = _corpus(spark, sf_dir)
-    ids = texts(spark, sf_dir).select("review_id")
-    return ids, doc_terms, X.fit_vocabulary(X.vocab_stats(doc_terms), ids)
+    """Ids, terms and vocabulary; fitting and applying read the cleaned texts, written once."""
+    docs = checkpointed(_corpus(spark, sf_dir)[0])
+    doc_terms = X.document_terms(docs)
+    ids = docs.select("review_id")
+    return ids, doc_terms, checkpointed(X.fit_vocabulary(X.vocab_stats(doc_terms), ids))
 
 
 @query(
