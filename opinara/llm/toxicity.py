@@ -43,6 +43,8 @@ EPOCHS, BATCH = 4, 64
 RATES = {"word": 0.0005, "char": 0.0005}  # embeddings move slowly: they could learn rows by heart
 THRESHOLD = 0.7
 CACHE = 300_000
+GROUP = 300_000  # words scored together
+CHUNK = 20_000  # words whose n-grams are laid out at once
 _EDGE = ".,;:!?()[]\"'"
 
 
@@ -114,9 +116,10 @@ class Network:
             known.clear()
             self._rows.clear()
             new = list(dict.fromkeys(tokens))
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self._rows.append(self.inputs(new)[1].astype(np.float32))
+        for a in range(0, len(new), CHUNK):
+            part = new[a : a + CHUNK]
+            known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
+            self._rows.append(self.inputs(part)[1].astype(np.float32))
         return np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
     def table(self) -> np.ndarray:
@@ -150,19 +153,18 @@ class Network:
 
     def text_logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Highest window logit of each text, and where that window begins."""
-        tokens = [words_of(t) or [""] for t in texts]
         logits, best = np.full(len(texts), -np.inf), np.zeros(len(texts), dtype=np.int64)
         group, size = [], 0
-        for i in range(len(texts)):
-            group.append(i)
-            size += len(tokens[i])
-            if size >= 400_000 or i == len(texts) - 1:
-                rows = self.lookup([t for j in group for t in tokens[j]])
+        for i, text in enumerate(texts):
+            group.append((i, words_of(text) or [""]))
+            size += len(group[-1][1])
+            if size >= GROUP or i == len(texts) - 1:
+                rows = self.lookup([w for _, ws in group for w in ws])
                 uniq, at = np.unique(rows, return_inverse=True)
                 x = self.table()[uniq]
                 owner, start, length, base = [], [], [], 0
-                for j in group:
-                    n = len(tokens[j])
+                for j, ws in group:
+                    n = len(ws)
                     begins = range(0, max(n - WINDOW, 0) + STRIDE, STRIDE) if n > WINDOW else (0,)
                     for s in begins:
                         s = min(s, max(n - WINDOW, 0))
@@ -286,8 +288,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     if not toxic or not clean:
         return None
     rng = np.random.default_rng(seed)
-    tokens = [words_of(t) for t in texts]
-    seen = [list(dict.fromkeys(w.strip(_EDGE) for w in ws)) for ws in tokens]
+    shared: dict[str, str] = {}  # one object per word
+    tokens = [[shared.setdefault(w, w) for w in words_of(t)] for t in texts]
+    seen = [list(dict.fromkeys(shared.setdefault(w, w) for w in (x.strip(_EDGE) for x in ws))) for ws in tokens]
     counts: dict[str, list[int]] = {}
     for ws, label in zip(seen, labels, strict=True):
         for w in ws:
@@ -295,14 +298,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     words = sorted((w for w, c in counts.items() if sum(c) > 1), key=lambda w: (-sum(counts[w]), w))[: VOCABULARY - 1]
     vocabulary = {w: i + 1 for i, w in enumerate(words)}
     grams = np.zeros((2, NGRAMS))
-    all_words = list(counts)
-    first, items = ngrams(all_words)
-    stop = np.append(first[1:], len(items))
-    row = {w: i for i, w in enumerate(all_words)}
-    for ws, label in zip(seen, labels, strict=True):
-        if ws:
-            own = np.unique(np.concatenate([items[first[row[w]] : stop[row[w]]] for w in ws]))
-            grams[label, own] += 1
+    for a in range(0, len(seen), 50):
+        # A text's n-grams count once, however often it has them.
+        part = [(i, w) for i, ws in enumerate(seen[a : a + 50]) for w in ws]
+        if part:
+            first, items = ngrams([w for _, w in part])
+            text = np.repeat(np.array([i for i, _ in part]), np.diff(first, append=len(items)))
+            both = np.unique(text * NGRAMS + items)
+            np.add.at(grams, (y[a + both // NGRAMS].astype(int), both % NGRAMS), 1)
     small = lambda *shape: rng.normal(0, 0.1, shape)
     d = WORD_DIM + CHAR_DIM
     net = Network(
