@@ -47,7 +47,8 @@ def lemma_map(vocab: DataFrame) -> DataFrame:
     )
 
 
-def _may_change(token: Column) -> Column:
+def may_change(token: Column) -> Column:
+    """Whether a token ends like one of the rules."""
     return reduce(lambda a, b: a | b, [F.endswith(token, F.lit(ending)) for ending, _ in C.NOUN_RULES])
 
 
@@ -57,7 +58,7 @@ def lemmatize(df: DataFrame, tokens_col: str, lemmas: DataFrame, id_col: str = "
     Only the different tokens of a row that end like a rule leave the row: they meet the lemma
     table, and the changes come back as one small map per row.  ``id_col`` must be unique.
     """
-    endings = F.array_distinct(F.filter(tokens_col, _may_change))
+    endings = F.array_distinct(F.filter(tokens_col, may_change))
     asked = df.select(F.col(id_col).alias("_lemma_id"), F.explode(endings).alias("token"))
     pairs = lookup_join(asked, lemmas, "token", "inner").groupBy("_lemma_id").agg(
         F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_lemmas")
@@ -65,7 +66,7 @@ def lemmatize(df: DataFrame, tokens_col: str, lemmas: DataFrame, id_col: str = "
     joined = df.join(pairs, F.col(id_col) == F.col("_lemma_id"), "left")
     changed = F.transform(
         tokens_col,
-        lambda w: F.when(_may_change(w), F.coalesce(F.try_element_at(F.col("_lemmas"), w), w)).otherwise(w),
+        lambda w: F.when(may_change(w), F.coalesce(F.try_element_at(F.col("_lemmas"), w), w)).otherwise(w),
     )
     tokens = F.when(F.col("_lemmas").isNull(), F.col(tokens_col)).otherwise(changed)
     return joined.withColumn(tokens_col, tokens).drop("_lemma_id", "_lemmas")

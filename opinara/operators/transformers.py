@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
@@ -10,13 +12,13 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import constants as C
 from opinara.functions import text as T
 from opinara.operators.features import with_numeric_features
-from opinara.operators.lemma import lemma_map, vocabulary
+from opinara.operators.lemma import lemma_map, may_change, vocabulary
 
 MARKED, CLEANED, TERMS = "_marked", "_cleaned", "_terms"
 
@@ -55,21 +57,28 @@ class ReviewText(Transformer, HasInputCol, DefaultParamsReadable, DefaultParamsW
         prepared = self._cleaned(dataset)
         lemmas = self.getOrDefault(self.lemmas)
         if lemmas:
-            prepared = prepared.withColumn(CLEANED, _lemmatized(lemmas)(F.col(CLEANED)))
+            prepared = prepared.withColumn(CLEANED, _lemmatized(F.col(CLEANED), lemmas))
         counted = with_numeric_features(prepared, MARKED, CLEANED)
         # One generated row per input row: the text steps stay in their own operator and
         # the vector stages below read a plain column.
         return counted.select("*", F.inline(F.array(F.struct(T.terms(F.col(CLEANED)).alias(TERMS)))))
 
 
-def _lemmatized(lemmas: dict[str, str]):
-    """Cleaned text with each token replaced by its lemma, in Arrow batches."""
+def _lemmatized(text: Column, lemmas: dict[str, str]) -> Column:
+    """Cleaned text with each token replaced by its lemma.
+
+    The table is one constant of the plan, a map of small maps by a token's first letters.
+    """
+    table: dict[str, dict[str, str]] = {}
+    for token, lemma in lemmas.items():
+        table.setdefault(token[:2], {})[token] = lemma
+    constant = F.from_json(F.lit(json.dumps(table)), "map<string,map<string,string>>")
 
-    @F.pandas_udf("string")
-    def replace(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: " ".join([lemmas.get(w, w) for w in t.split(" ")]), na_action="ignore")
+    def one(w: Column) -> Column:
+        found = F.try_element_at(F.try_element_at(constant, F.substring(w, 1, 2)), w)
+        return F.when(may_change(w), F.coalesce(found, w)).otherwise(w)
 
-    return replace
+    return F.array_join(F.transform(F.split(text, " "), one), " ")
 
 
 @F.pandas_udf(VectorUDT())

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinara.config import RunConfig
+from opinara.functions import constants as C
 from opinara.operators import evaluate as V
 from opinara.operators import models as M
-from opinara.registry.base import query
-from opinara.registry.sampling import split_rows
+from opinara.registry.base import SQL_RATED, query, with_
+from opinara.registry.sampling import SQL_BASE, SQL_SPLIT, split_rows
 from opinara.session import scratch_path
 from opinara.sources.reviews import documents
 
@@ -117,3 +119,85 @@ def compare_all_models(spark, sf_dir):
     labels = lexicon_predictions(spark, sf_dir).drop("sentiment")
     rows = test.drop("reviewText").join(labels, "review_id")
     return V.compare_models(V.long_predictions(rows, "sentiment", {**LEXICON_MODELS, **MODELS}))
+
+
+# What must hold for any solver, next to SQL that says so.
+_TEST_ROWS = with_(SQL_RATED, SQL_BASE, SQL_SPLIT)
+
+
+def _odd_labels(df, *columns):
+    """Rows with a label outside the classes, or a final label that breaks the serving rule."""
+    known = [F.col(c).isin(*C.CLASSES) for c in columns]
+    rule = F.col("final_sentiment").eqNullSafe(F.col("mlp_sentiment"))
+    agree = F.col("models_agree").eqNullSafe(F.col("nb_sentiment") == F.col("mlp_sentiment"))
+    return df.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(~reduce(lambda a, b: a & b, known)).alias("n_unknown"),
+        F.count_if(~rule).alias("n_not_final"),
+        F.count_if(~agree).alias("n_not_agree"),
+    )
+
+
+@query(
+    "predict_rules",
+    _TEST_ROWS
+    + "SELECT count(*) AS n_rows, 0::BIGINT AS n_unknown, 0::BIGINT AS n_not_final, 0::BIGINT AS n_not_agree FROM split WHERE split = 'test'",
+)
+def predict_rules(spark, sf_dir):
+    """Every test row gets two known labels, and the final one follows the serving rule."""
+    rows = M.classify_frame(split_documents(spark, sf_dir, "test"), trained(spark, sf_dir).model)
+    return _odd_labels(rows, "nb_sentiment", "mlp_sentiment", "final_sentiment")
+
+
+@query(
+    "load_model_same",
+    _TEST_ROWS + "SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM split WHERE split = 'test'",
+)
+def load_model_same(spark, sf_dir):
+    """The saved and reloaded model labels every test row as the fitted one does."""
+    path = scratch_path(spark, "model")
+    fitted = trained(spark, sf_dir).model
+    fitted.write().overwrite().save(path)
+    test = split_documents(spark, sf_dir, "test").select("review_id", "reviewText")
+    names = {c: f"{c}_2" for c in M.OUTPUTS}
+    again = M.classify_frame(test, PipelineModel.load(path)).drop("reviewText").withColumnsRenamed(names)
+    both = M.classify_frame(test, fitted).join(again, "review_id")
+    same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()])
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(~same).alias("n_different"))
+
+
+@query("loss_falls", "SELECT true AS falls, true AS starts_at_zero")
+def loss_falls(spark, sf_dir):
+    """No iteration of the refitted perceptron ends with a higher loss than the one before."""
+    curve = M.loss_curve(trained(spark, sf_dir).perceptron)
+    before = F.lag("loss").over(W.partitionBy().orderBy("iteration"))  # at most 201 rows
+    rises = curve.withColumn("rise", F.col("loss") - before)
+    return rises.agg(
+        (F.count_if(F.col("rise") > 1e-9) == 0).alias("falls"), (F.min("iteration") == 0).alias("starts_at_zero")
+    )
+
+
+@query(
+    "grid_size",
+    "SELECT * FROM (VALUES ('MLP', 3::BIGINT, 1::BIGINT), ('Naive Bayes', 5::BIGINT, 1::BIGINT)) t(model, n_candidates, n_best)",
+)
+def grid_size(spark, sf_dir):
+    """Both grids in full, with one best candidate each."""
+    return grid_search_cv(spark, sf_dir).groupBy("model").agg(
+        F.count("*").alias("n_candidates"), F.count_if(F.col("is_best")).alias("n_best")
+    )
+
+
+@query(
+    "assemble_sizes",
+    "SELECT count(*) AS n_rows, 1::BIGINT AS n_sizes, true AS sizes_fit FROM documents",
+)
+def assemble_sizes(spark, sf_dir):
+    """All vectors have the vocabulary's size and three more entries."""
+    features = trained(spark, sf_dir).features
+    size = len(features.stages[1].vocabulary) + 3
+    return assemble(spark, sf_dir).agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("n_features").alias("n_sizes"),
+        F.bool_and((F.col("n_features") == size) & (F.col("n_stored") <= size)).alias("sizes_fit"),
+    )

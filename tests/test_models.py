@@ -21,7 +21,7 @@ CONFIG = RunConfig(
     n_folds=2,
     tfidf=TfidfConfig(max_features=60),
 )
-PHRASES = {5.0: "great perfect love card", 3.0: "okay average plain card", 1.0: "terrible awful waste card"}
+PHRASES = {5.0: "great perfect love cards", 3.0: "okay average plain card", 1.0: "terrible awful waste card"}
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +53,7 @@ def test_run_outputs(spark, trained):
 def test_saved_model_classifies_frames(spark, trained):
     model = PipelineModel.load(f"{trained[0]}/model")
     df = spark.createDataFrame([(1, "love this great card"), (2, None), (3, "awful waste")], "id int, text string")
+    assert model.stages[0].getOrDefault("lemmas") == {"cards": "card"}
     out = M.classify_frame(df, model)
     assert out.columns == ["id", "text", *M.OUTPUTS]
     rows = {r["id"]: r for r in out.collect()}
