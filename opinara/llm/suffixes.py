@@ -46,8 +46,8 @@ LENGTH = 100
 GRAM = 32
 HOT = 30_000
 # Bytes of text per suffix array, and of texts hashed at once.
-SHARD_BYTES = 1 << 20
-BLOCK_BYTES = 1 << 21
+SHARD_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 _SPREAD = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -60,7 +60,7 @@ _BASE2 = _U(0xC2B2AE3D27D4EB4F)
 
 def _last_true(mask: np.ndarray) -> np.ndarray:
     """Index of the last true position at or before each position (-1: none)."""
-    return np.maximum.accumulate(np.where(mask, np.arange(len(mask)), -1))
+    return np.maximum.accumulate(np.where(mask, np.arange(len(mask), dtype=np.int32), np.int32(-1)))
 
 
 def suffix_types(s: np.ndarray) -> np.ndarray:
@@ -224,18 +224,17 @@ def common_prefixes(s: np.ndarray, symbols: np.ndarray, sa: np.ndarray, limit: i
     are compared symbol by symbol; every other value is one less than the value to its left.
     """
     n = len(s)
-    phi = np.full(n, -1, dtype=np.int64)
+    phi = np.full(n, -1, dtype=np.int32)
     phi[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     reducible = (at > 0) & (phi > 0)
     reducible[reducible] = symbols[at[reducible] - 1] == symbols[phi[reducible] - 1]
     root = np.flatnonzero(~reducible)
-    plcp = np.zeros(n, dtype=np.int64)
+    plcp = np.zeros(n, dtype=np.int32)
     word = 8
-    text = np.zeros(n + limit + 2 * word, dtype=np.uint8)
+    text = np.zeros(n + 2 * word, dtype=np.uint8)
     text[:n] = s
-    view = np.lib.stride_tricks.as_strided(text.view(), shape=(n + limit + word, word), strides=(1, 1))
-    longs = np.ascontiguousarray(view).view(np.uint64).ravel()
+    eights = np.lib.stride_tricks.sliding_window_view(text, word)
     # An irreducible value must reach past the limit by its distance to the next root, or
     # else the values to its right would be cut short.
     gap = np.diff(root, append=n)
@@ -247,7 +246,7 @@ def common_prefixes(s: np.ndarray, symbols: np.ndarray, sa: np.ndarray, limit: i
     while len(active):
         i, j = left[active] + shared[active], phi[left[active]] + shared[active]
         room = n - np.maximum(i, j)
-        x = longs[np.minimum(i, n)] ^ longs[np.minimum(j, n)]
+        x = (eights[np.minimum(i, n)] ^ eights[np.minimum(j, n)]).view(np.uint64).ravel()
         zeros = np.where(x == 0, word, np.bitwise_count((x & (~x + _U(1))) - _U(1)).astype(np.int64) // 8)
         grown = np.minimum(zeros, room)
         shared[active] += grown
@@ -271,8 +270,8 @@ def repeated_windows(texts: list[bytes], order: list[tuple], length: int = LENGT
     sa = suffix_array(symbols)
     # Windows never reach a separator, so bytes alone decide: values beyond it don't matter.
     plcp = common_prefixes(s, symbols, sa, length)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    inner = np.arange(len(s)) - np.repeat(first, sizes + 1)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    inner = np.arange(len(s), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes + 1)
     window = inner + length <= sizes[owner]
     # Suffixes that end within `length` bytes sit between strings; they end an interval.
     with_previous = (plcp[sa] >= length) & window[sa]
@@ -283,7 +282,7 @@ def repeated_windows(texts: list[bytes], order: list[tuple], length: int = LENGT
     if not many.any():
         return
     member = np.repeat(many, np.diff(begins, append=len(sa)))
-    interval = np.cumsum(~with_previous)[member]
+    interval = np.cumsum(~with_previous, dtype=np.int32)[member]
     at = sa[member]
     place = np.array([(o[0], o[1], o[2]) for o in order], dtype=np.int64)
     key0, key1, key2 = place[owner[at], 0], place[owner[at], 1], place[owner[at], 2] + inner[at]

@@ -42,8 +42,8 @@ MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2000, 50_000
 EPOCHS, BATCH = 4, 64
 RATES = {"word": 0.0005, "char": 0.0005}  # embeddings move slowly: they could learn rows by heart
 THRESHOLD = 0.7
-CACHE = 300_000
-GROUP = 300_000  # words scored together
+CACHE = 120_000
+GROUP = 100_000  # words scored together
 CHUNK = 20_000  # words whose n-grams are laid out at once
 _EDGE = ".,;:!?()[]\"'"
 
@@ -177,8 +177,8 @@ class Network:
                 score = np.empty(len(owner_))
                 for whole in (True, False):
                     pick = np.flatnonzero((steps == WINDOW) == whole)
-                    for a in range(0, len(pick), 2048):
-                        p = pick[a : a + 2048]
+                    for a in range(0, len(pick), 1024):
+                        p = pick[a : a + 1024]
                         if whole:
                             score[p] = self.windows(x, at[first[p, None] + np.arange(WINDOW)], None)
                         else:
@@ -382,8 +382,8 @@ def _scorer(net):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = net.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
                 texts = part.column("_text").to_pylist()
                 score = model.scores(texts) if model else np.zeros(len(texts))
                 others = [c for c in part.schema.names if c != "_text"]
