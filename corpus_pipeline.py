@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import lines, packing, simhash, suffixes, toxicity
+from opinara.llm import lines, nearcopies, packing, suffixes, toxicity
 from opinara.llm.common import table
 from opinara.session import scratch_path
 
@@ -23,7 +23,7 @@ def drop_line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.survivors(docs)
+    return nearcopies.survivors(docs)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

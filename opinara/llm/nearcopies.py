@@ -1,0 +1,184 @@
+"""Near copies by exact similarity of word shingles, of candidates from SimHash and MinHash.
+
+Two texts are near copies if their sets of `SHINGLE`-word shingles (ASCII letters lower-cased;
+fewer words: the whole sequence) have a Jaccard similarity of at least 4/5.
+
+1. Texts equal in their words are folded to one representative.
+2. *Candidates.* Fingerprints within `simhash.RADIUS` bits (exact tiles), and equal bands: each
+   of `BANDS` keys is made of `ROWS` smallest shingle hashes under different permutations.  A
+   pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^24 = 0.9999.  Both only
+   connect representatives, by one row per representative and key.  (Tiles of a wide radius
+   would prune nothing: bit counts of unrelated fingerprints differ by less than 12 as a rule.)
+3. *Verification.* Inside a candidate component every pair of tiles is one block.  Pairs in it
+   that share a band or lie within `REACH` bits and are not yet in one group are compared by
+   their shingle sets; verified pairs leave as a spanning forest, never as all pairs.
+4. *Groups.* Connected components of verified pairs; the row of the smallest id stays.
+
+Defined results: null and blank texts have no shingles and are copies of each other only; for
+ids see `simhash.survivors`; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from opinara.llm import simhash
+from opinara.llm.common import components, key_of, scratch
+
+SHINGLE = 5
+BANDS, ROWS = 24, 5
+REACH = 12
+TILE = 512
+
+_MULTIPLY, _ADD = np.random.default_rng(20240229).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_MULTIPLY |= np.uint64(1)
+
+
+def _set(text: str | None) -> np.ndarray:
+    """The different shingles as sorted 64-bit hashes."""
+    return np.unique(np.array(simhash._hashes(text, SHINGLE), dtype=np.uint64))
+
+
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    low = np.full((BANDS * ROWS, 1), 2**64 - 1, dtype=np.uint64)
+    for a in range(0, len(shingles), 4096):
+        x = shingles[None, a : a + 4096] * _MULTIPLY + _ADD
+        x ^= x >> np.uint64(32)
+        low = np.minimum(low, x.min(axis=1, keepdims=True))
+    data = low.reshape(BANDS, ROWS)
+    keys = [hashlib.blake2b(row.tobytes(), digest_size=8).digest() for row in data]
+    return np.frombuffer(b"".join(keys), dtype="<i8")
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests, fps, bands = [], [], []
+        for text in batch.column("_text").to_pylist():
+            words = b" ".join(text.encode().lower().split()) if text else b""
+            hashes = np.array(simhash._hashes(text, SHINGLE), dtype=np.uint64)
+            digests.append(hashlib.blake2b(words, digest_size=16).digest())
+            fps.append(simhash._majority(hashes, np.array([len(hashes)]))[0] if len(hashes) else np.uint64(0))
+            bands.append(_bands(np.unique(hashes)).tolist())
+        columns = [batch.column("_id"), batch.column("_content"), pa.array(digests, pa.binary())]
+        columns += [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["_id", "_content", "digest", "fp", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [_set(t).tobytes() for t in batch.column("_text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of at least 4/5 of two sorted sets."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """(a, b): links that connect all representatives with a common band or near fingerprints."""
+    keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    shared = keys.groupBy("band", "key").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
+    by_band = keys.join(shared, ["band", "key"]).where("rep <> b").select(F.col("rep").alias("a"), "b")
+    by_fp = reps.groupBy("fp").agg(F.min("rep").alias("lead"))
+    lead = lambda x: by_fp.select(F.col("fp").alias(x), F.col("lead").alias(f"{x}_lead"))
+    near = simhash.links(by_fp.select("fp")).join(lead("a"), "a").join(lead("b"), "b")
+    equal = reps.join(by_fp, "fp").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    near = near.select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
+    return by_band.distinct().unionByName(equal).unionByName(near)
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, role): each row of role 1 is compared with the tile of role 0."""
+    at, up = None, {}
+    reps: list[int] = []
+    sets: list[np.ndarray] = []
+    held: list[tuple[int, np.ndarray]] = []
+    fps, bands = np.zeros(0, dtype=np.uint64), np.zeros((0, BANDS), dtype=np.int64)
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        found = []
+        names = ("block", "role", "rep", "fp", "bands", "shingles")
+        for block, role, rep, fp, keys, data in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if block != at:
+                at, up, reps, sets, held = block, {}, [], [], []
+                fps = None
+            shingles = np.frombuffer(data, dtype=np.uint64)
+            if role == 0:
+                reps.append(rep)
+                sets.append(shingles)
+                held.append((fp, keys))
+                continue
+            if not reps:
+                continue
+            if fps is None:
+                fps = np.array([f for f, _ in held], dtype=np.int64).view(np.uint64)
+                bands = np.array([k for _, k in held], dtype=np.int64)
+            mine = np.array([fp], dtype=np.int64).view(np.uint64)
+            near = (bands == np.array(keys)).any(axis=1) | (np.bitwise_count(fps ^ mine) <= REACH)
+            for i in np.flatnonzero(near).tolist():
+                x, y = find(rep), find(reps[i])
+                if x != y and similar(shingles, sets[i]):
+                    up[max(x, y)] = min(x, y)
+                    found.append((rep, reps[i]))
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def verified(members: DataFrame, tile: int = TILE) -> DataFrame:
+    """(a, b): a spanning forest of the near copies among members (component, rep, fp, bands,
+    shingles).  A component of t tiles is t (t + 1) / 2 blocks."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
+    m = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    rest = ["rep", "fp", "bands", "shingles"]
+    from_own, to_own = F.sequence(F.col("own"), F.col("tiles") - 1), F.sequence(F.lit(0), F.col("own"))
+    first = m.select("component", "own", F.explode(from_own).alias("t"), *rest)
+    second = m.select("component", "own", F.explode(to_own).alias("t"), *rest)
+    dealt = first.select(F.concat_ws("/", "component", "own", "t").alias("block"), F.lit(0).alias("role"), *rest).unionByName(
+        second.select(F.concat_ws("/", "component", "t", "own").alias("block"), F.lit(1).alias("role"), *rest)
+    )
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "role")
+    return dealt.mapInArrow(_verify, "a long, b long")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """(id, _content, component_id), one row per input row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_content"), F.col(text_col).alias("_text"))
+    sketch = "_id long, _content long, digest binary, fp long, bands array<long>"
+    sketched = scratch(rows.mapInArrow(_sketch, sketch))
+    place = lambda: F.struct(key_of("_id").alias("k"), F.col("_content").alias("c"))
+    reps = sketched.groupBy("digest").agg(
+        F.min("_id").alias("low"), F.min(place()).alias("place"), F.first("fp").alias("fp"), F.first("bands").alias("bands")
+    )
+    reps = scratch(reps.withColumn("rep", F.monotonically_increasing_id()))
+    found = scratch(components(candidates(reps)).select(F.col("node").alias("rep"), "component"))
+    members = scratch(reps.join(found, "rep").select("rep", "component", "fp", "bands", "place"))
+    # Only one text of each candidate moves on.
+    texts = rows.select(place().alias("place"), "_text").join(members.select("rep", "place"), "place")
+    sets = texts.mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"])
+    named = components(verified(members.join(sets, "rep"), tile)).withColumnRenamed("node", "rep")
+    named = reps.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = named.join(lows, "component").select("digest", "component_id")
+    return sketched.join(named, "digest").select(F.col("_id").alias(id_col), "_content", "component_id")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with one row left of each group of near copies."""
+    return simhash.survivors(docs, grouped=groups)

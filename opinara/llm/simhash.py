@@ -20,7 +20,7 @@ are ignored by `groups` and kept by `survivors`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -38,18 +38,18 @@ _PARTS = 4
 _LANES = np.uint64(0x0101010101010101)
 
 
-def _hashes(text: str | None) -> list[int]:
+def _hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split() if text else []
     if not words:
         return []
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return [xxh64_intdigest(joined, 42)]
     stops = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = [0, *(stops[: -SHINGLE] + 1).tolist()]
-    return [xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops[SHINGLE - 1 :].tolist(), strict=True)]
+    starts = [0, *(stops[:-shingle] + 1).tolist()]
+    return [xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops[shingle - 1 :].tolist(), strict=True)]
 
 
 def _majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -251,15 +251,17 @@ def report(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def survivors(docs: DataFrame, radius: int = RADIUS, grouped: Callable[..., DataFrame] | None = None) -> DataFrame:
     """The rows of `docs` with one row left of each group: that of its smallest id.
 
+    `grouped(rows, id, text)` gives (id, _content, component_id) where other groups are wanted.
     Of several texts of that id the first by hash stays.  A row with a null id comes after all
     others and stays if its group has no other.
     """
     last = F.lit(2**63 - 1) - F.pmod(F.xxhash64("_text"), F.lit(1 << 40))
     rows = packed(docs, "doc_id", "text").withColumn("_doc_id", F.coalesce(F.col("_doc_id").cast("long"), last))
-    lead = groups(rows, radius, "_doc_id", "_text").where("_doc_id = component_id")
+    found = grouped(rows, "_doc_id", "_text") if grouped else groups(rows, radius, "_doc_id", "_text")
+    lead = found.where("_doc_id = component_id")
     lead = lead.groupBy("_doc_id", "component_id").agg(F.min("_content").alias("_content"))
     rows = rows.select("_row", "_doc_id", F.xxhash64("_text").alias("_content"))
     rows = rows.join(lead.select("_doc_id", "_content"), ["_doc_id", "_content"], "left_semi")

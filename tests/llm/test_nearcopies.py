@@ -1,0 +1,45 @@
+"""Near copies next to brute-force Jaccard similarity."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from opinara.llm import nearcopies
+
+from . import brute
+
+
+def corpus():
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    out = [(0, None), (1, " \n"), (2, "too short"), (3, "TOO short")]
+    for _ in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 400))]
+        out.append((len(out), " ".join(base)))
+        for _ in range(4):
+            words = list(base)
+            for _ in range(rng.randint(0, len(base) // 20)):
+                words[rng.randrange(len(words))] = "changed"
+            out.append((len(out), " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("tile", [nearcopies.TILE, 2])
+def test_groups_equal_brute_force(spark, tile):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in nearcopies.groups(df, tile=tile).collect()}
+    assert [got[i] for i, _ in docs] == brute.near_copies(docs)
+
+
+def test_the_stage_removes_near_copies_beyond_two_bits(spark, messy, empty, sf_dir):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, df, sf_dir).collect()}
+    assert left == set(brute.near_copies(docs))
+    assert len(left) < len({low for _, low in brute.simhash_groups(docs)})
+    assert nearcopies.survivors(empty).count() == 0
+    kept = nearcopies.survivors(messy)
+    assert kept.columns == messy.columns
+    assert sorted(((r.doc_id or -1), (r.text or "")[:7]) for r in kept.collect()) == [(-1, "only he"), (1, "one two"), (2, ""), (5, "word wo"), (7, "another")]
