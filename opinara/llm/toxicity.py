@@ -17,7 +17,7 @@ without a shuffle.
 
 Defined results: null and empty texts score like a text without words; without toxic or
 without clean training rows every score is 0; several labels of one id count as toxic if one
-is; null labels and null ids teach nothing; repeated rows get equal scores; an empty table
+is; several texts of one id teach by the first in order; null labels and null ids teach nothing; repeated rows get equal scores; an empty table
 gives no rows; extra columns are ignored by `score` and kept by `accepted`.
 """
 
@@ -366,15 +366,15 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
-    """Trains on a bounded sample: the labelled rows whose id hashes lowest."""
+    """Trains on a bounded sample: one text of each labelled id that hashes lowest."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out("doc_id")).withColumn("_order", F.xxhash64("doc_id", F.lit("sample")))
     parts = [known.where("toxic = 1").orderBy("_order").limit(MAX_TOXIC), known.where("toxic = 0").orderBy("_order").limit(MAX_CLEAN)]
     chosen = parts[0].unionByName(parts[1]).select("doc_id", F.col("toxic").cast("int").alias("_toxic"))
     texts = docs.select("doc_id", "text").where(F.char_length("text") <= MAX_CHARS)
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # MAX_TOXIC + MAX_CLEAN ids
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
+    rows = rows.collect()  # MAX_TOXIC + MAX_CLEAN texts
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
-    rows = rows[: 2 * (MAX_TOXIC + MAX_CLEAN)]  # ids may repeat
     return train([r["text"] for r in rows], [r["_toxic"] for r in rows])
 
 
