@@ -27,16 +27,17 @@ def key_of(id_col: str) -> Column:
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, carried columns, text, _key, _copy): one identity for each row, also where ids
-    repeat or are null.
+    """(id, carried columns, text, _key, _copy, _n): one identity for each text of an id, also
+    where ids repeat or are null.
 
-    Rows of one id are numbered by their text, so equal rows are interchangeable.  The rows are
-    dealt by `_key`; every later join on it reuses that one exchange.
+    Texts of one id are told apart and ordered by a hash, `_copy`; rows equal in id and text are
+    numbered by `_n`, in any order.  The rows are dealt by `_key` and `_copy`, so an id with very
+    many texts is spread; every later join on them reuses that one exchange.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     rows = docs.select(F.col(id_col), *carry, text, key_of(id_col).alias("_key"))
-    order = W.partitionBy("_key").orderBy("text")
-    return rows.repartition("_key").withColumn("_copy", F.row_number().over(order))
+    rows = rows.withColumn("_copy", F.xxhash64("text")).repartition("_key", "_copy")
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy("_key", "_copy").orderBy("_key")))
 
 
 def packed(docs: DataFrame, *keep: str) -> DataFrame:

@@ -23,7 +23,7 @@ Hot anchors: an anchor with more than `HOT` different segments is not gathered;
 go on window by window, named by their content, and equal windows are folded where they are
 read.  No case is dropped.
 
-Defined results: null texts are empty; ids may repeat (such rows are ordered by text) and may
+Defined results: null texts are empty; ids may repeat (such rows are ordered by a hash of their text) and may
 be null (they sort first); texts shorter than `length` lose nothing; an empty table gives no
 rows; other columns are ignored.  Removal may cut a character; texts are decoded without the
 broken bytes.
@@ -374,7 +374,7 @@ def _segment_batch(group: list[tuple], length: int) -> pa.RecordBatch:
 
 def _segments_of(group: list[tuple], length: int) -> pa.RecordBatch:
     key, copy, offset, texts = zip(*group, strict=True)
-    keys, copies, offsets = np.array(key), np.array(copy, dtype=np.int32), np.array(offset, dtype=np.int64)
+    keys, copies, offsets = np.array(key), np.array(copy, dtype=np.int64), np.array(offset, dtype=np.int64)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     first = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -399,8 +399,9 @@ def _segments_of(group: list[tuple], length: int) -> pa.RecordBatch:
     )
 
 
-_SEGMENT = "anchor long, digest long, _key long, _copy int, start int, windows int"
-_MARK = "anchor long, _key long, _copy int, start int, windows int, first boolean, hot boolean"
+_SEGMENT = "anchor long, digest long, _key long, _copy long, start int, windows int"
+_MARK = "anchor long, _key long, _copy long, start int, windows int, first boolean, hot boolean"
+_TEXT = ("_key", "_copy")
 _MARKED = ("anchor", "_key", "_copy", "start", "windows")
 
 
@@ -462,7 +463,7 @@ def _fold(hot: int):
     return run
 
 
-_BYTES = "anchor long, bytes binary, _key long, _copy int, start int"
+_BYTES = "anchor long, bytes binary, _key long, _copy long, start int"
 
 
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -482,10 +483,9 @@ def _cut_out(length: int):
             wanted = np.flatnonzero(m["first"])
             owner = np.searchsorted(edge, wanted, side="right") - 1
             copies, keys = np.asarray(batch.column("_copy")), np.asarray(batch.column("_key"))
-            same = m["_copy"][wanted] == copies[owner]
             texts = batch.column("text")
             at, data = -1, b""
-            for i, row in zip(wanted[same].tolist(), owner[same].tolist(), strict=True):
+            for i, row in zip(wanted.tolist(), owner.tolist(), strict=True):
                 if row != at:
                     at, data = row, texts[row].as_py().encode()
                 start, stop = int(m["start"][i]), int(m["start"][i] + m["windows"][i]) + length - 1
@@ -509,12 +509,12 @@ def _cut_out(length: int):
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     a, b, k, c, s = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(k, pa.int64()), pa.array(c, pa.int32()), pa.array(s, pa.int32())],
+        [pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(k, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int32())],
         names=["anchor", "bytes", "_key", "_copy", "start"],
     )
 
 
-_RUN = "_key long, _copy int, start int, windows int"
+_RUN = "_key long, _copy long, start int, windows int"
 
 
 def _search(length: int):
@@ -563,7 +563,7 @@ def _search(length: int):
 def _runs(rows: list[tuple]) -> pa.RecordBatch:
     k, c, s, w = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(k, pa.int64()), pa.array(c, pa.int32()), pa.array(s, pa.int32()), pa.array(w, pa.int32())],
+        [pa.array(k, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int32()), pa.array(w, pa.int32())],
         names=["_key", "_copy", "start", "windows"],
     )
 
@@ -572,20 +572,18 @@ def _runs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def marked(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(_key, marks): the repeated segments of each id's texts; bounded by the texts."""
+    """(_key, _copy, marks): the repeated segments of each text, which bounds them."""
     found = rows.mapInArrow(_find_segments(length), _SEGMENT)
     dealt = found.repartition("anchor").sortWithinPartitions("anchor", "digest", "_key", "_copy", "start")
     marks = dealt.mapInArrow(_fold(hot), _MARK)
-    return marks.groupBy("_key").agg(
-        F.collect_list(F.struct("anchor", "_copy", "start", "windows", "first", "hot")).alias("marks")
-    )
+    return marks.groupBy(*_TEXT).agg(F.collect_list(F.struct("anchor", "start", "windows", "first", "hot")).alias("marks"))
 
 
 def searched(rows: DataFrame, marks: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_key, runs): repeated windows inside first copies, found by the shards' arrays."""
-    pieces = rows.join(marks, "_key").mapInArrow(_cut_out(length), _BYTES)
+    """(_key, _copy, runs): repeated windows inside first copies, found by the shards' arrays."""
+    pieces = rows.join(marks, list(_TEXT)).mapInArrow(_cut_out(length), _BYTES)
     runs = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search(length), _RUN)
-    return runs.groupBy("_key").agg(F.collect_list(F.struct("_copy", "start", "windows")).alias("runs"))
+    return runs.groupBy(*_TEXT).agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
 
 
 def _removed(start: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -605,13 +603,14 @@ def _rewrite(length: int, with_text: bool):
         for batch in batches:
             n_bytes, n_removed, spans, kept = [], [], [], []
             (e0, m), (e1, r) = _lists(batch.column("marks")), _lists(batch.column("runs"))
-            for i, (copy, text) in enumerate(zip(batch.column("_copy").to_pylist(), batch.column("text"), strict=True)):
+            for i, (n, text) in enumerate(zip(batch.column("_n").to_pylist(), batch.column("text"), strict=True)):
                 late, run_ = slice(e0[i], e0[i + 1]), slice(e1[i], e1[i + 1])
-                mine, also = ~m["first"][late] & (m["_copy"][late] == copy), r["_copy"][run_] == copy
-                start = np.concatenate([m["start"][late][mine], r["start"][run_][also]])
-                windows = np.concatenate([m["windows"][late][mine], r["windows"][run_][also]])
+                mine = ~m["first"][late]
+                start = np.concatenate([m["start"][late][mine], r["start"][run_]])
+                windows = np.concatenate([m["windows"][late][mine], r["windows"][run_]])
                 data = text.as_py().encode()
-                cuts = _removed(start, windows, length)
+                # A later row equal in id and text starts after the first in every string.
+                cuts = _removed(start, windows, length) if n == 1 else [(0, len(data))] * (len(data) >= length)
                 at, parts = 0, []
                 for a, b in cuts:
                     parts.append(data[at:a])
@@ -621,7 +620,7 @@ def _rewrite(length: int, with_text: bool):
                 n_removed.append(len(data) - len(rest))
                 spans.append([{"start": a, "stop": b} for a, b in cuts])
                 kept.append(rest.decode(errors="ignore") if with_text else hashlib.sha256(rest).hexdigest())
-            names = [c for c in batch.schema.names if c not in ("text", "marks", "runs")]
+            names = [c for c in batch.schema.names if c not in ("text", "_n", "marks", "runs")]
             spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -641,10 +640,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     """(id, carried columns, _key, _copy, n_bytes, n_removed, spans, kept): kept is the remaining text, or the
     SHA-256 of the remaining bytes when `with_text` is false."""
     rows = numbered(docs, id_col, text_col, carry)
-    marks = marked(rows, length, hot)
-    runs = searched(rows, marks, length)
-    joined = rows.join(marks, "_key", "left").join(runs, "_key", "left")
-    joined = joined.select(F.col(id_col), *carry, "_key", "_copy", "text", "marks", "runs")
+    first = rows.where("_n = 1")
+    marks = marked(first, length, hot)
+    runs = searched(first, marks, length)
+    joined = rows.join(marks, list(_TEXT), "left").join(runs, list(_TEXT), "left")
+    joined = joined.select(F.col(id_col), *carry, *_TEXT, "text", "_n", "marks", "runs")
     schema = joined.select(id_col, *carry, "_key", "_copy").schema.add("n_bytes", "long").add("n_removed", "long")
     span = T.StructType().add("start", "long").add("stop", "long")
     schema = schema.add("spans", T.ArrayType(span)).add("kept", "string")
