@@ -1,7 +1,8 @@
 """Near-duplicate vectors by sorted projection passes.
 
 1. Equal vectors are folded to one representative with its number of copies.
-2. Each pass hashes every vector to `BITS` signs of random projections, concatenated, and sorts
+2. Each pass hashes every vector, less the mean of all unit vectors, to `BITS` signs of random
+   projections, concatenated, and sorts
    all vectors by that number; near vectors share long prefixes and come to stand close.  Every
    vector is compared with the next `WINDOW` in order, by cosine in double precision.  All
    passes are one range-partitioned sort by (pass, number), and windows go on across the
@@ -11,8 +12,13 @@
    members are dealt into tiles, and every pair of tiles is one block product that adds to the
    members' counts of linked vectors.  Pairs are counted, never emitted.
 
-Recall: a pair with cosine 0.95 agrees on a projection's sign with probability 0.90.  The
-passes only have to connect a group; the counts inside it are then exact.
+Recall: in spread vectors a pair with cosine 0.95 agrees on a projection's sign with probability
+0.90; around a common direction of mean cosine c its cosine after centring is (0.95 - c) / (1 - c).
+A pass has to agree on the bits that part the table into stretches of `WINDOW`.  The number of
+passes follows from the measured count and mean cosine, so that a lone pair at the threshold is
+expected with probability `RECALL` at least; they run in turns of `PASSES`.  Where vectors crowd
+around several directions the mean tells less than this and recall is lower.  The passes only
+have to connect a group; the counts inside it are then exact.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component link
 with nothing and are their own component, as are vectors of another length than all others'
@@ -24,6 +30,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +41,7 @@ from opinara.llm.common import components, scratch
 
 COSINE = 0.95
 PASSES = 16
+RECALL = 0.98
 BITS = 48
 WINDOW = 32
 TILE = 1024
@@ -68,15 +76,45 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_id"), dims, pa.array(out, pa.binary())], names=["_id", "dim", "vec"])
 
 
-def _hash(passes: int):
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task and length: number and sum of the unit vectors."""
+    held: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        dims = np.asarray(batch.column("dim"))
+        for dim in np.unique(dims).tolist():
+            x = _units(_matrix(batch.filter(pa.array(dims == dim)).column("vec")))
+            n, total = held.get(dim, (0, 0.0))
+            held[dim] = n + len(x), total + x.sum(axis=0)
+    for dim, (n, total) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([n]), pa.array([total.tobytes()])], names=["dim", "n", "total"])
+
+
+def means(reps: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """Number and mean of the unit vectors of each length."""
+    out: dict[int, tuple[int, np.ndarray]] = {}
+    for row in reps.select("dim", "vec").mapInArrow(_sums, "dim int, n long, total binary").collect():
+        n, total = out.get(row.dim, (0, 0.0))
+        out[row.dim] = n + row.n, total + np.frombuffer(row.total, dtype="<f8")
+    return {dim: (n, total / n) for dim, (n, total) in out.items()}
+
+
+def passes_for(n: int, mean_cosine: float, window: int = WINDOW, cosine: float = COSINE) -> int:
+    """Passes after which a lone pair at the threshold is expected with probability RECALL."""
+    c = min(max(mean_cosine, 0.0), cosine - 0.05)  # above that the threshold links nearly all
+    agree = 1 - np.arccos((cosine - c) / (1 - c)) / np.pi
+    meets = agree ** max(np.log2(max(n, 1) / window), 0.0)
+    return PASSES if meets >= 1 else max(PASSES, int(np.ceil(np.log(1 - RECALL) / np.log1p(-meets))))
+
+
+def _hash(passes: range, centres: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                x = _units(_matrix(part.column("vec")))
-                for number in range(passes):
+                x = _units(_matrix(part.column("vec"))) - centres[int(dim)]
+                for number in passes:
                     code = ((x @ _planes(int(dim), number)) >= 0) @ weights
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -166,16 +204,25 @@ def _across(window: int, cosine: float):
     return run
 
 
-def candidates(reps: DataFrame, passes: int = PASSES, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
+def candidates(reps: DataFrame, passes: int | None = None, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
     """(a, b): verified links between representatives (rep, dim, vec)."""
-    hashed = reps.select("rep", "dim", "vec").mapInArrow(_hash(passes), "pass int, dim int, code long, rep long, vec binary")
+    known = means(reps)
+    centres = {dim: mean for dim, (_, mean) in known.items()}
+    passes = passes or max([passes_for(n, float(mean @ mean), window, cosine) for n, mean in known.values()], default=PASSES)
+    # Each turn is written, so that its sorted copies can go before the next.
+    turns = [_turn(reps, range(a, min(a + PASSES, passes)), centres, window, cosine) for a in range(0, passes, PASSES)]
+    return reduce(DataFrame.unionByName, turns).distinct()
+
+
+def _turn(reps: DataFrame, passes: range, centres: dict[int, np.ndarray], window: int, cosine: float) -> DataFrame:
+    hashed = reps.select("rep", "dim", "vec").mapInArrow(_hash(passes, centres), "pass int, dim int, code long, rep long, vec binary")
     order = ["pass", "dim", "code", "rep"]
     dealt = hashed.repartitionByRange(*order).sortWithinPartitions(*order)
     found = scratch(dealt.mapInArrow(_neighbours(window, cosine), _FOUND))
     edges = found.where("side is not null").select("pass", "dim", "code", "rep", "vec").distinct()
     # Border rows: 2 x window per partition; one sorted stretch for each pass.
     edges = edges.repartition("pass").sortWithinPartitions(*order).mapInArrow(_across(window, cosine), "a long, b long")
-    return found.where("a is not null").select("a", "b").unionByName(edges).distinct()
+    return scratch(found.where("a is not null").select("a", "b").unionByName(edges).distinct())
 
 
 def _block(cosine: float):
@@ -243,7 +290,7 @@ def near_duplicates(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     cosine: float = COSINE,
-    passes: int = PASSES,
+    passes: int | None = None,
     window: int = WINDOW,
     tile: int = TILE,
 ) -> DataFrame:
