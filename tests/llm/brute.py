@@ -113,23 +113,3 @@ def vector_links(vectors, cosine=0.95):
 
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
-
-
-def shingles(text, n=5):
-    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = WORD.findall(words)
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
-
-
-def near_copies(docs):
-    """[smallest id of the group] in the order of docs: 5-word Jaccard of at least 4/5."""
-    sets = [shingles(t) for _, t in docs]
-    g = Groups(len(docs))
-    for a in range(len(docs)):
-        for b in range(a):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                g.join(a, b)
-    low = {}
-    for k, (i, _) in enumerate(docs):
-        low[g.find(k)] = min(low.get(g.find(k), i), i)
-    return [low[g.find(k)] for k in range(len(docs))]
