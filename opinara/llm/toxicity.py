@@ -9,16 +9,19 @@ all windows, each overlapping the next by half; its score is that of its worst w
 Training is plain numpy on the driver, over a bounded sample of labelled rows (`MAX_TOXIC`,
 `MAX_CLEAN`, texts up to `MAX_CHARS` characters), never on held-out rows (crc32 of the id's
 text mod 3 is 1).  Embeddings start from how strongly a word or n-gram goes with the label;
-all weights are then fitted, each epoch on the worst window of each text and a random one of
-clean texts.  Labels, ids, sources and languages are no inputs of a score.
+all weights are then fitted in `STEPS` steps of `BATCH` rows, whatever the number of rows, on the
+worst window of each text and a random one of clean texts; worst windows are sought anew after
+a quarter and three quarters of the steps.  Labels, ids, sources and languages are no inputs of a score.
 
 The fitted model has a fixed size (about 3 MB) and is broadcast; scoring reads each text once,
 without a shuffle.
 
 Defined results: null and empty texts score like a text without words; without toxic or
 without clean training rows every score is 0; several labels of one id count as toxic if one
-is; several texts of one id teach by the first in order; null labels and null ids teach nothing; repeated rows get equal scores; an empty table
-gives no rows; extra columns are ignored by `score` and kept by `accepted`.
+is; of several texts of one id the first in order teaches; an id whose texts are all over
+`MAX_CHARS` teaches nothing, though it was chosen; of windows that tie the first teaches; null
+labels and null ids teach nothing; repeated rows get equal scores; an empty table gives no rows;
+extra columns are ignored by `score` and kept by `accepted`.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 VOCABULARY, NGRAMS = 20_000, 1 << 15
 SIZES = (3, 4, 5, 6)
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2000, 50_000
-EPOCHS, BATCH = 4, 64
+STEPS, BATCH = 190, 64
 RATES = {"word": 0.0005, "char": 0.0005}  # embeddings move slowly: they could learn rows by heart
 THRESHOLD = 0.7
 CACHE = 120_000
@@ -323,25 +326,24 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
         if len(ws) > WINDOW and y[i]:
             value = np.array([net.word[vocabulary.get(w.strip(_EDGE), 0), 0] for w in ws])
             best[i] = min(int(value.argmax()) // STRIDE * STRIDE, len(ws) - WINDOW)
-    moments, t = {}, 0
-    rounds = EPOCHS if len(texts) > 1000 else EPOCHS * 4
+    moments: dict = {}
     balance = np.concatenate([np.flatnonzero(y == 1)] * max(1, round(clean / toxic / 2)) + [np.flatnonzero(y == 0)])
-    for epoch in range(rounds):
-        if epoch in (rounds // 4, rounds // 4 * 3):
+    order = balance[:0]
+    for t in range(1, STEPS + 1):
+        if t in (STEPS // 4, STEPS // 4 * 3):
             net._known.clear()
             net._rows.clear()
             best = net.text_logits(texts)[1]
-        order = rng.permutation(balance)
-        for a in range(0, len(order), BATCH):
-            batch, goal = [], []
-            for i in order[a : a + BATCH]:
-                ws, s = tokens[i], int(best[i])
-                if not y[i] and rng.random() < 0.5:
-                    s = int(rng.integers(0, max(len(ws) - WINDOW, 0) + 1))
-                batch.append(ws[s : s + WINDOW] or [""])
-                goal.append(y[i])
-            t += 1
-            _step(net, batch, np.array(goal), moments, t)
+        if not len(order):
+            order = rng.permutation(balance)
+        part, order = order[:BATCH], order[BATCH:]
+        batch = []
+        for i in part:
+            ws, s = tokens[i], int(best[i])
+            if not y[i] and rng.random() < 0.5:
+                s = int(rng.integers(0, max(len(ws) - WINDOW, 0) + 1))
+            batch.append(ws[s : s + WINDOW] or [""])
+        _step(net, batch, y[part], moments, t)
     net._known.clear()
     net._rows.clear()
     logit = net.text_logits(texts)[0]
