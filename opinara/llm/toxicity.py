@@ -42,7 +42,7 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 VOCABULARY, NGRAMS = 20_000, 1 << 15
 SIZES = (3, 4, 5, 6)
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2000, 50_000
-STEPS, BATCH = 190, 64
+STEPS, BATCH = 300, 64
 RATES = {"word": 0.0005, "char": 0.0005}  # embeddings move slowly: they could learn rows by heart
 THRESHOLD = 0.7
 CACHE = 120_000
