@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import lines, packing, pieces, quality, sharding, simhash, suffixes, tokens, toxicity, vectors
+from opinara.llm import lines, packing, pieces, quality, sharding, simhash, suffixes, tokens, toxicity, vectors, warc
 from opinara.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_sharding, op4_quality_rules, op5_token_counts, op6_line_dedup, op7_simhash, op8_toxicity, op9_sentencepiece, op10_suffix_dedup)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_sharding": sharding.oracle(), "op4_quality_rules": quality.SQL, "op6_line_dedup": lines.SQL}
+    return {"op3_sharding": sharding.oracle(), "op4_quality_rules": quality.SQL, "op6_line_dedup": lines.SQL, "op13_warc": warc.oracle()}
