@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import lines, packing, pieces, quality, sharding, simhash, suffixes, tokens, toxicity, vectors, warc
+from opinara.llm import divergence, lines, packing, pieces, quality, sharding, simhash, suffixes, tokens, toxicity, vectors, warc
 from opinara.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -61,4 +65,4 @@ QUERIES: dict[str, Query] = {name: f for name, f in list(globals().items()) if n
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_sharding": sharding.oracle(), "op4_quality_rules": quality.SQL, "op6_line_dedup": lines.SQL, "op13_warc": warc.oracle()}
+    return {"op3_sharding": sharding.oracle(), "op4_quality_rules": quality.SQL, "op6_line_dedup": lines.SQL, "op12_source_divergence": divergence.oracle(), "op13_warc": warc.oracle()}
