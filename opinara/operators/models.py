@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, NaiveBayes
@@ -16,7 +18,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from opinara.config import RunConfig, TfidfConfig
 from opinara.functions import constants as C
 from opinara.functions import scores as S
 from opinara.functions import text as T
+from opinara.operators.bayes import search_grid
 from opinara.operators.features import NUMERIC_FEATURES, fit_vocabulary, vocab_stats
 from opinara.operators.sampling import assign_folds
 from opinara.operators.transformers import (
@@ -69,8 +72,7 @@ def fit_features(
     ).first()
     limits = {c: (float(limits_row[f"{c}_lo"]), float(limits_row[f"{c}_hi"])) for c in NUMERIC_FEATURES}
     # The relational vocabulary has a rule for equal frequencies.
-    doc_terms = prepared.select(F.inline(T.term_counts(F.col(TERMS))))
-    vocabulary = fit_vocabulary(vocab_stats(doc_terms), prepared, config).collect()
+    vocabulary = fit_vocabulary(vocab_stats(prepared, CLEANED), prepared, config).collect()
     if not vocabulary:
         raise ValueError("no term of the training rows lies within the frequency limits")
     counter = CountVectorizerModel.from_vocabulary([r["term"] for r in vocabulary], inputCol=TERMS, outputCol="_counts")
@@ -92,13 +94,35 @@ def fit_features(
     return model, featurised
 
 
-def _evaluator(prediction: str) -> MulticlassClassificationEvaluator:
-    """Support-weighted f1."""
-    return MulticlassClassificationEvaluator(labelCol="label", predictionCol=prediction, metricName="f1")
+@dataclass(frozen=True)
+class Grid:
+    """Candidates of a search with mean and deviation of f1 over the folds, and the model refitted
+    on all rows with the first of the best."""
 
+    params: list[dict[str, Any]]
+    means: list[float]
+    stds: list[float]
+    model: Any
 
-def search_bayes(rows: DataFrame, config: RunConfig) -> CrossValidatorModel:
-    """Smoothing grid over stratified folds; refitted on all rows."""
+    @property
+    def best(self) -> int:
+        """Means are compared to nine digits, since sums over folds differ in their order."""
+        return best_of(self.means)
+
+
+def best_of(means: Sequence[float]) -> int:
+    return max(range(len(means)), key=lambda i: (round(means[i], 9), -i))
+
+
+def search_bayes(rows: DataFrame, config: RunConfig) -> Grid:
+    """Smoothing grid over stratified folds from one pass of sums and one of scores (see
+    `operators.bayes`); the best value is refitted as a stage for saved models."""
+    vector = F.unwrap_udt("features")
+    size = int(rows.select(F.coalesce(vector["size"], F.size(vector["values"]))).first()[0])
+    terms = F.coalesce(vector["indices"], F.sequence(F.lit(0), F.size(vector["values"]) - 1))
+    sparse = rows.select("fold", S.class_name(F.col("label")).alias("sentiment"), F.struct(terms.alias("terms"), vector["values"].alias("weights")).alias("_vector"))
+    found = search_grid(sparse, size, config.nb_alphas, config.n_folds, features="_vector").orderBy("candidate").collect()
+    means, stds = [r["mean_f1"] for r in found], [r["std_f1"] for r in found]
     nb = NaiveBayes(
         modelType="multinomial",
         featuresCol="features",
@@ -106,12 +130,12 @@ def search_bayes(rows: DataFrame, config: RunConfig) -> CrossValidatorModel:
         predictionCol="nb_index",
         probabilityCol="nb_probability",
         rawPredictionCol="nb_raw",
+        smoothing=float(config.nb_alphas[best_of(means)]),
     )
-    grid = ParamGridBuilder().addGrid(nb.smoothing, list(config.nb_alphas)).build()
-    return _search(nb, grid, "nb_index", rows, config)
+    return Grid([{"smoothing": float(a)} for a in config.nb_alphas], means, stds, nb.fit(rows))
 
 
-def search_perceptron(rows: DataFrame, n_features: int, config: RunConfig) -> CrossValidatorModel:
+def search_perceptron(rows: DataFrame, n_features: int, config: RunConfig) -> Grid:
     """Grid over hidden layers and iteration limits."""
     mlp = MultilayerPerceptronClassifier(
         featuresCol="features",
@@ -129,18 +153,16 @@ def search_perceptron(rows: DataFrame, n_features: int, config: RunConfig) -> Cr
         .addGrid(mlp.maxIter, list(config.mlp_max_iter))
         .build()
     )
-    return _search(mlp, grid, "mlp_index", rows, config)
-
-
-def _search(estimator, grid, prediction: str, rows: DataFrame, config: RunConfig) -> CrossValidatorModel:
-    return CrossValidator(
-        estimator=estimator,
+    search = CrossValidator(
+        estimator=mlp,
         estimatorParamMaps=grid,
-        evaluator=_evaluator(prediction),
+        evaluator=MulticlassClassificationEvaluator(labelCol="label", predictionCol="mlp_index", metricName="f1"),
         numFolds=config.n_folds,
         foldCol="fold",
         parallelism=config.parallelism,
     ).fit(rows)
+    params = [{p.name: v for p, v in x.items()} for x in grid]
+    return Grid(params, [float(v) for v in search.avgMetrics], [float(v) for v in search.stdMetrics], search.bestModel)
 
 
 @dataclass
@@ -149,8 +171,8 @@ class TrainedModels:
 
     model: PipelineModel
     features: PipelineModel
-    bayes: CrossValidatorModel
-    perceptron: CrossValidatorModel
+    bayes: Grid
+    perceptron: Grid
     config: RunConfig = field(default_factory=RunConfig)
 
 
@@ -181,8 +203,8 @@ def train_models(
     folded.unpersist()
     stages = [
         *features.stages,
-        bayes.bestModel,
-        perceptron.bestModel,
+        bayes.model,
+        perceptron.model,
         IndexToString(inputCol="nb_index", outputCol="nb_sentiment", labels=list(C.CLASSES)),
         IndexToString(inputCol="mlp_index", outputCol="mlp_sentiment", labels=list(C.CLASSES)),
         SQLTransformer(
@@ -224,26 +246,16 @@ def classify_frame(df: DataFrame, model: PipelineModel, text_column: str | None
     return scored.select(*[F.col("_input_row")[c].alias(c) for c in kept], *OUTPUTS)
 
 
-def best_candidate(search: CrossValidatorModel) -> tuple[dict[str, str], float]:
+def best_candidate(search: Grid) -> tuple[dict[str, str], float]:
     """Parameters and mean f1 of the first candidate with the highest mean."""
-    best = max(range(len(search.avgMetrics)), key=lambda i: (search.avgMetrics[i], -i))
-    params = search.getEstimatorParamMaps()[best]
-    return {p.name: str(v) for p, v in params.items()}, float(search.avgMetrics[best])
+    return {name: str(v) for name, v in search.params[search.best].items()}, search.means[search.best]
 
 
-def grid_results(search: CrossValidatorModel, model: str) -> DataFrame:
+def grid_results(search: Grid, model: str) -> DataFrame:
     """(model, candidate, params, mean_f1, std_f1, is_best); first candidate wins ties."""
-    best = max(range(len(search.avgMetrics)), key=lambda i: (search.avgMetrics[i], -i))
     rows = [
-        (
-            model,
-            i,
-            ", ".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda kv: kv[0].name)),
-            float(search.avgMetrics[i]),
-            float(search.stdMetrics[i]),
-            i == best,
-        )
-        for i, params in enumerate(search.getEstimatorParamMaps())
+        (model, i, ", ".join(f"{name}={v}" for name, v in sorted(params.items())), mean, std, i == search.best)
+        for i, (params, mean, std) in enumerate(zip(search.params, search.means, search.stds, strict=True))
     ]
     return _active().createDataFrame(
         rows, "model string, candidate int, params string, mean_f1 double, std_f1 double, is_best boolean"
@@ -254,18 +266,15 @@ def _active() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
-def bayes_curve(search: CrossValidatorModel) -> DataFrame:
+def bayes_curve(search: Grid) -> DataFrame:
     """(alpha, mean_f1, low, high) of the smoothing grid."""
-    rows = []
-    for params, mean, std in zip(search.getEstimatorParamMaps(), search.avgMetrics, search.stdMetrics):
-        (alpha,) = [v for p, v in params.items() if p.name == "smoothing"]
-        rows.append((float(alpha), float(mean), float(mean - std), float(mean + std)))
+    rows = [(p["smoothing"], m, m - d, m + d) for p, m, d in zip(search.params, search.means, search.stds, strict=True)]
     return _active().createDataFrame(rows, "alpha double, mean_f1 double, low double, high double")
 
 
-def loss_curve(search: CrossValidatorModel) -> DataFrame:
+def loss_curve(search: Grid) -> DataFrame:
     """(iteration, loss) of the refitted perceptron."""
-    history = search.bestModel.summary().objectiveHistory
+    history = search.model.summary().objectiveHistory
     return _active().createDataFrame(
         [(i, float(v)) for i, v in enumerate(history)], "iteration int, loss double"
     )

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.functions import constants as C
 from opinara.functions import text as T
-from opinara.operators.lemma import fit_lemmas, lemmatize
+from opinara.operators.lemma import fit_lemmas, lemma_text
+from opinara.session import checkpointed
 from opinara.sources.lexicon import OPINION_WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,18 +64,31 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def corpus_lemmas(df: DataFrame) -> DataFrame:
-    """The lemma table of the cleaned tokens of these rows."""
-    marked = T.prepare_training(F.col("reviewText"))
-    return fit_lemmas(df.select(T.clean_tokens(marked, collapsed=True).alias("ws")), "ws")
+def _tokens(df: DataFrame) -> DataFrame:
+    """The columns with `review_neg` in place of the text, and the cleaned tokens `_ws`."""
+    d = df.withColumn("review_neg", T.prepare_training(F.col("reviewText")))
+    return d.withColumn("_ws", T.clean_tokens(F.col("review_neg"), collapsed=True))
 
 
-def cleaned(df: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
-    """Training-profile text columns, with the lemma table of these rows unless one is given."""
-    tokens = T.clean_tokens(F.col("review_neg"), collapsed=True)
-    d = df.withColumn("review_neg", T.prepare_training(F.col("reviewText"))).withColumn("_ws", tokens)
-    d = lemmatize(d, "_ws", corpus_lemmas(df) if lemmas is None else lemmas)
-    return d.withColumn("cleaned_text", T.join_tokens(F.col("_ws"))).drop("_ws")
+def corpus_lemmas(df: DataFrame) -> DataFrame:
+    """The lemma table of the cleaned tokens of these rows."""
+    return fit_lemmas(_tokens(df.select("reviewText")).select("_ws"), "_ws")
+
+
+def cleaned(df: DataFrame, lemmas: DataFrame | None = None, marked_columns: dict[str, Column] | None = None) -> DataFrame:
+    """The columns but for the text, with `cleaned_text` and columns made of `review_neg`.
+
+    Without a given lemma table that of these rows is fitted; texts are then cleaned once into
+    a written table, which is read to fit and to apply it.
+    """
+    d = _tokens(df).withColumns(marked_columns or {}).drop("review_neg", "reviewText")
+    if lemmas is None:
+        d = checkpointed(d)
+        lemmas = fit_lemmas(d, "_ws")
+    else:
+        # One generated row per row: a Python argument must be a plain column, not a lambda.
+        d = d.select(*[c for c in d.columns if c != "_ws"], F.inline(F.array(F.struct("_ws"))))
+    return lemma_text(d, "_ws", lemmas)
 
 
 def literal(value: str | None) -> str:

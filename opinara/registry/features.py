@@ -64,16 +64,13 @@ SQL_FITTED = (*SQL_CORPUS, sql_vocabulary("cleaned"))
 
 
 def _corpus(spark, sf_dir):
-    docs = cleaned(texts(spark, sf_dir)).select("review_id", "cleaned_text")
-    return docs, X.document_terms(docs)
+    return cleaned(texts(spark, sf_dir).select("review_id", "reviewText"))
 
 
 def _fitted(spark, sf_dir):
-    """Ids, terms and vocabulary; fitting and applying read the cleaned texts, written once."""
-    docs = checkpointed(_corpus(spark, sf_dir)[0])
-    doc_terms = X.document_terms(docs)
-    ids = docs.select("review_id")
-    return ids, doc_terms, checkpointed(X.fit_vocabulary(X.vocab_stats(doc_terms), ids))
+    """Cleaned texts and vocabulary; fitting and applying read the texts, written once."""
+    docs = checkpointed(_corpus(spark, sf_dir))
+    return docs, X.fit_vocabulary(X.vocab_stats(docs), docs)
 
 
 @query(
@@ -81,16 +78,15 @@ def _fitted(spark, sf_dir):
     with_(*SQL_CORPUS) + "SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM doc_terms GROUP BY term",
 )
 def vocab_stats(spark, sf_dir):
-    return X.vocab_stats(_corpus(spark, sf_dir)[1])
+    return X.vocab_stats(_corpus(spark, sf_dir))
 
 
 @query("vocab_topk", with_(*SQL_FITTED) + "SELECT term, tf, df FROM vocabulary ORDER BY tf DESC, term LIMIT 5000")
 def vocab_topk(spark, sf_dir):
     from opinara.config import TfidfConfig
 
-    _, doc_terms = _corpus(spark, sf_dir)
-    ids = texts(spark, sf_dir).select("review_id")
-    fitted = X.fit_vocabulary(X.vocab_stats(doc_terms), ids, TfidfConfig(max_features=5000))
+    stats = X.vocab_stats(_corpus(spark, sf_dir))
+    fitted = X.fit_vocabulary(stats, texts(spark, sf_dir).select("review_id"), TfidfConfig(max_features=5000))
     return fitted.select("term", "tf", "df")
 
 
@@ -99,7 +95,7 @@ def vocab_topk(spark, sf_dir):
     with_(*SQL_FITTED) + "SELECT term, tf, df, round(idf, 6) AS idf FROM vocabulary",
 )
 def tfidf_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir)[2].select("term", "tf", "df", F.round("idf", 6).alias("idf"))
+    return _fitted(spark, sf_dir)[1].select("term", "tf", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(
@@ -108,15 +104,8 @@ def tfidf_fit(spark, sf_dir):
     + "SELECT review_id, count(*) AS n_known, round(sum(tf * idf), 4) AS idf_mass FROM (SELECT d.review_id, d.tf, v.idf FROM doc_terms d JOIN vocabulary v ON d.term = v.term) GROUP BY review_id",
 )
 def idf_join(spark, sf_dir):
-    _, doc_terms, vocabulary = _fitted(spark, sf_dir)
-    return (
-        doc_terms.join(F.broadcast(vocabulary.select("term", "idf")), "term")
-        .groupBy("review_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_known"),
-            F.round(F.sum(F.col("tf") * F.col("idf")), 4).alias("idf_mass"),
-        )
-    )
+    docs, vocabulary = _fitted(spark, sf_dir)
+    return X.known_terms(docs, vocabulary).withColumn("idf_mass", F.round("idf_mass", 4))
 
 
 @query(
@@ -124,8 +113,7 @@ def idf_join(spark, sf_dir):
     with_(*SQL_FITTED, sql_weights()) + "SELECT review_id, term, round(weight, 6) AS weight FROM weights",
 )
 def tfidf_weights(spark, sf_dir):
-    _, doc_terms, vocabulary = _fitted(spark, sf_dir)
-    return X.tfidf_weights(doc_terms, vocabulary).withColumn("weight", F.round("weight", 6))
+    return X.tfidf_weights(*_fitted(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -134,8 +122,7 @@ def tfidf_weights(spark, sf_dir):
     + "SELECT term, round(sum(weight) / any_value(n_docs), 8) AS mean_weight FROM weights, nd GROUP BY term",
 )
 def mean_tfidf(spark, sf_dir):
-    ids, doc_terms, vocabulary = _fitted(spark, sf_dir)
-    means = X.mean_weights(X.tfidf_weights(doc_terms, vocabulary), ids)
+    means = X.mean_weights(*_fitted(spark, sf_dir))
     return means.withColumn("mean_weight", F.round("mean_weight", 8))
 
 
@@ -145,8 +132,7 @@ def mean_tfidf(spark, sf_dir):
     + "SELECT term, round(sum(weight) / any_value(n_docs), 9) AS mean_weight FROM weights, nd GROUP BY term ORDER BY mean_weight DESC, term LIMIT 20",
 )
 def top_terms(spark, sf_dir):
-    ids, doc_terms, vocabulary = _fitted(spark, sf_dir)
-    means = X.mean_weights(X.tfidf_weights(doc_terms, vocabulary), ids)
+    means = X.mean_weights(*_fitted(spark, sf_dir))
     return X.top_terms(means).withColumn("mean_weight", F.round("mean_weight", 9))
 
 
@@ -156,9 +142,7 @@ def top_terms(spark, sf_dir):
     + "SELECT (SELECT n_docs FROM nd) AS n_docs, (SELECT count(*) FROM vocabulary) AS n_terms, count(*) AS nnz FROM doc_terms JOIN vocabulary USING (term)",
 )
 def matrix_shape(spark, sf_dir):
-    ids, doc_terms, vocabulary = _fitted(spark, sf_dir)
-    entries = doc_terms.join(F.broadcast(vocabulary.select("term")), "term", "left_semi")
-    return X.matrix_shape(entries, ids, vocabulary)
+    return X.matrix_shape(*_fitted(spark, sf_dir))
 
 
 @query(
@@ -209,7 +193,8 @@ def prepared_split(spark, sf_dir):
     """
     split = split_rows(spark, sf_dir).select("review_id", "overall", "sentiment", "split")
     docs = documents(spark, sf_dir).select("review_id", "reviewText").join(split, "review_id")
-    return checkpointed(X.with_numeric_features(cleaned(docs)).drop("reviewText", "review_neg"))
+    rows = cleaned(docs, marked_columns=X.marked_counts())
+    return checkpointed(rows.withColumn("review_length", T.char_length(F.col("cleaned_text"))))
 
 
 @query(
@@ -249,22 +234,19 @@ def label_encode(spark, sf_dir):
     return labelled.select("review_id", S.class_name(index).alias("sentiment"), index.alias("label_index"))
 
 
+def train_features(spark, sf_dir):
+    """Training and test rows as sparse features of the training vocabulary and limits."""
+    rows = prepared_split(spark, sf_dir)
+    train = rows.where("split = 'train'")
+    vocabulary = X.fit_vocabulary(X.vocab_stats(train), train)
+    return X.sparse_features(rows, train, vocabulary, keep=["sentiment", "split"])
+
+
 def bayes_predictions(spark, sf_dir, alpha: float = 1.0):
     """Naive Bayes fitted on the training rows, scores of the test rows."""
-    rows = prepared_split(spark, sf_dir)
-    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    train_ids = train.select("review_id", "sentiment")
-    train_terms = X.document_terms(train, keep=["sentiment"])
-    vocabulary = checkpointed(X.fit_vocabulary(X.vocab_stats(train_terms), train_ids))
-    train_x = X.tfidf_weights(train_terms, vocabulary, keep=["sentiment"]).unionByName(
-        X.numeric_as_terms(X.minmax_scale(train, train), keep=["sentiment"])
-    )
-    test_x = X.tfidf_weights(X.document_terms(test), vocabulary).unionByName(
-        X.numeric_as_terms(X.minmax_scale(test, train))
-    )
-    n_features = vocabulary.agg(F.count(F.lit(1)) + len(_FEATURES)).scalar()
-    model = NB.fit_bayes(train_x, train_ids, n_features, alpha)
-    return NB.score_bayes(test_x, model, NB.class_priors(train_ids))
+    rows, size = train_features(spark, sf_dir)
+    model = NB.fit_bayes(rows.where("split = 'train'"), size, alpha)
+    return NB.score_bayes(rows.where("split = 'test'"), model)
 
 
 SQL_BAYES = (

@@ -379,7 +379,8 @@ def select_numeric_cols(spark, sf_dir):
 def project_preview(spark, sf_dir):
     """Cleans only the five rows that survive the limit, with the corpus's lemma table."""
     rows = texts(spark, sf_dir)
-    return cleaned(rows.orderBy("review_id").limit(5), corpus_lemmas(rows)).select("review_id", "reviewText", "cleaned_text")
+    shown = rows.orderBy("review_id").limit(5).withColumn("shown", F.col("reviewText"))
+    return cleaned(shown, corpus_lemmas(rows)).select("review_id", F.col("shown").alias("reviewText"), "cleaned_text")
 
 
 @query(

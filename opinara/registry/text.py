@@ -28,6 +28,7 @@ from opinara.registry.base import (
     texts,
     with_,
 )
+from opinara.session import checkpointed
 from opinara.sources.reviews import reviews_text
 
 RAW = "coalesce(\"reviewText\", '')"
@@ -181,11 +182,10 @@ _text_query(
     + f"{sql_exclaims('review_neg')} AS exclamation_count, {sql_upper_count('review_neg')} AS uppercase_count FROM cleaned",
 )
 def numeric_features(spark, sf_dir):
-    from opinara.operators.features import with_numeric_features
+    from opinara.operators.features import marked_counts
 
-    return with_numeric_features(cleaned(texts(spark, sf_dir))).select(
-        "review_id", "review_length", "exclamation_count", "uppercase_count"
-    )
+    rows = cleaned(texts(spark, sf_dir), marked_columns=marked_counts())
+    return rows.select("review_id", T.char_length(F.col("cleaned_text")).alias("review_length"), "exclamation_count", "uppercase_count")
 
 
 @query(
@@ -264,7 +264,7 @@ _LEMMATIZE_SQL = (
 
 @query("lemmatize", _LEMMATIZE_SQL)
 def lemmatize(spark, sf_dir):
-    toks = _clean_tokens(spark, sf_dir)
+    toks = checkpointed(_clean_tokens(spark, sf_dir))
     return L.lemmatize(toks, "ws", L.fit_lemmas(toks, "ws")).select(
         "review_id", T.join_tokens(F.col("ws")).alias("lemmas")
     )

@@ -13,8 +13,9 @@ from opinara.config import RunConfig
 from opinara.functions import constants as C
 from opinara.operators import evaluate as V
 from opinara.operators import models as M
-from opinara.registry.base import SQL_RATED, query, with_
-from opinara.registry.sampling import SQL_BASE, SQL_SPLIT, split_rows
+from opinara.registry.base import SQL_RATED, query, sql_cleaned, with_
+from opinara.registry.features import SQL_BAYES, SQL_LIMITS, SQL_NUMERIC, SQL_SCALED, sql_doc_terms, sql_vocabulary, sql_weights, train_features
+from opinara.registry.sampling import ORDER, SQL_BASE, SQL_SPLIT, split_rows
 from opinara.session import scratch_path
 from opinara.sources.reviews import documents
 
@@ -38,9 +39,60 @@ def trained(spark, sf_dir):
     return _trained(spark.sparkContext.applicationId, sf_dir)
 
 
-@query("train_nb")
+_ALPHAS = ", ".join(f"({i}, {a}::DOUBLE)" for i, a in enumerate(CONFIG.nb_alphas))
+
+
+def _by_class(form: str) -> str:
+    return ", ".join(form.format(c=c) for c in C.CLASSES)
+
+
+# The grid by formula: masses of all folds but one, for every smoothing value.
+SQL_NB_GRID = (
+    SQL_RATED,
+    SQL_BASE,
+    SQL_SPLIT,
+    "learned AS (SELECT r.review_id, r.\"reviewText\", s.sentiment FROM rated r JOIN split s USING (review_id) WHERE s.split = 'train')",
+    sql_cleaned("learned", "sentiment"),
+    SQL_NUMERIC,
+    SQL_LIMITS,
+    SQL_SCALED,
+    sql_doc_terms("cleaned", "sentiment"),
+    sql_vocabulary("cleaned"),
+    sql_weights("sentiment"),
+    f"folds AS (SELECT review_id, sentiment, (row_number() OVER (PARTITION BY sentiment ORDER BY {ORDER}) - 1) % {CONFIG.n_folds} AS fold FROM cleaned)",
+    "numerics AS (UNPIVOT scaled ON review_length, exclamation_count, uppercase_count INTO NAME feature VALUE weight)",
+    "x AS (SELECT f.fold, f.review_id, f.sentiment, term, weight FROM weights JOIN folds f USING (review_id) UNION ALL "
+    "SELECT f.fold, f.review_id, f.sentiment, '<' || feature || '>', weight FROM numerics JOIN folds f USING (review_id))",
+    "own AS (SELECT fold, term, " + _by_class("sum(CASE WHEN sentiment = '{c}' THEN weight ELSE 0.0 END) AS m_{c}") + " FROM x GROUP BY ALL)",
+    "every AS (SELECT term, " + _by_class("sum(m_{c}) AS m_{c}") + " FROM own GROUP BY term)",
+    f"fold_list(fold) AS (SELECT unnest(range({CONFIG.n_folds})))",
+    "mass AS (SELECT l.fold, e.term, " + _by_class("e.m_{c} - coalesce(o.m_{c}, 0.0) AS m_{c}") + " FROM every e CROSS JOIN fold_list l LEFT JOIN own o ON o.term = e.term AND o.fold = l.fold)",
+    "tot AS (SELECT fold, " + _by_class("sum(m_{c}) AS t_{c}") + " FROM mass GROUP BY fold)",
+    "dims AS (SELECT count(*) + 3 AS d FROM vocabulary)",
+    f"alphas(candidate, alpha) AS (VALUES {_ALPHAS})",
+    "theta AS (SELECT candidate, fold, term, " + _by_class("ln((m_{c} + alpha) / (t_{c} + alpha * d)) AS th_{c}") + " FROM mass JOIN tot USING (fold), dims, alphas)",
+    "prior AS (SELECT l.fold, " + _by_class("ln(count(*) FILTER (WHERE sentiment = '{c}') / count(*)::DOUBLE) AS p_{c}") + " FROM fold_list l JOIN folds f ON f.fold <> l.fold GROUP BY l.fold)",
+    "sums AS (SELECT candidate, x.fold, review_id, any_value(sentiment) AS truth, " + _by_class("any_value(p_{c}) + sum(weight * th_{c}) AS s_{c}") + " FROM x JOIN theta USING (fold, term) JOIN prior p ON p.fold = x.fold GROUP BY ALL)",
+    "labelled AS (SELECT candidate, fold, truth, CASE WHEN s_Negative >= s_Neutral AND s_Negative >= s_Positive THEN 'Negative' WHEN s_Neutral >= s_Positive THEN 'Neutral' ELSE 'Positive' END AS pred FROM sums)",
+    "per_class AS (SELECT candidate, fold, c AS label, count(*) AS n, count(*) FILTER (WHERE truth = c) AS support, count(*) FILTER (WHERE pred = c) AS predicted, count(*) FILTER (WHERE truth = c AND pred = c) AS hits "
+    f"FROM labelled CROSS JOIN (VALUES {', '.join(f"('{c}')" for c in C.CLASSES)}) k(c) GROUP BY ALL)",
+    "scored AS (SELECT candidate, fold, sum(support * CASE WHEN hits = 0 THEN 0.0 ELSE 2.0 * hits / (support + predicted) END) / any_value(n) AS f1 FROM per_class GROUP BY ALL)",
+    "grid AS (SELECT candidate, any_value(alpha) AS alpha, avg(f1) AS mean_f1, stddev_pop(f1) AS std_f1 FROM scored JOIN alphas USING (candidate) GROUP BY candidate)",
+)
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(
+    "train_nb",
+    with_(*SQL_NB_GRID)
+    + "SELECT 'Naive Bayes' AS model, candidate, 'smoothing=' || alpha AS params, round(mean_f1, 6) AS mean_f1, round(std_f1, 6) AS std_f1, "
+    "row_number() OVER (ORDER BY round(mean_f1, 9) DESC, candidate) = 1 AS is_best FROM grid",
+)
 def train_nb(spark, sf_dir):
-    return M.grid_results(trained(spark, sf_dir).bayes, "Naive Bayes")
+    return _rounded(M.grid_results(trained(spark, sf_dir).bayes, "Naive Bayes"), "mean_f1", "std_f1")
 
 
 @query("train_mlp")
@@ -56,9 +108,13 @@ def grid_search_cv(spark, sf_dir):
     )
 
 
-@query("nb_grid_curve")
+@query(
+    "nb_grid_curve",
+    with_(*SQL_NB_GRID)
+    + "SELECT alpha, round(mean_f1, 6) AS mean_f1, round(mean_f1 - std_f1, 6) AS low, round(mean_f1 + std_f1, 6) AS high FROM grid",
+)
 def nb_grid_curve(spark, sf_dir):
-    return M.bayes_curve(trained(spark, sf_dir).bayes)
+    return _rounded(M.bayes_curve(trained(spark, sf_dir).bayes), "mean_f1", "low", "high")
 
 
 @query("loss_curve")

@@ -1,9 +1,12 @@
+import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from opinara.operators import bayes, enhance, evaluate, features, generate, lexicon, profile, quantiles, sampling
+from opinara.functions.constants import CLASSES
+from opinara.operators import bayes, enhance, evaluate, features, generate, lemma, lexicon, profile, quantiles, sampling, terms
 from opinara.session import lookup_join
 from opinara.sources.lexicon import built_in_lexicon
 
@@ -166,19 +169,102 @@ def test_metric_identities(spark):
 
 
 def test_weights_have_unit_length(spark):
-    df = spark.createDataFrame([(1, "good card good"), (2, "bad card"), (3, "good bad card")], "review_id int, cleaned_text string")
-    terms = features.document_terms(df)
-    vocabulary = features.fit_vocabulary(features.vocab_stats(terms), df, features.TfidfConfig(min_df=1, max_df=1.0))
-    norms = features.tfidf_weights(terms, vocabulary).groupBy("review_id").agg(F.sum(F.col("weight") ** 2).alias("s"))
-    assert all(r["s"] == pytest.approx(1.0) for r in norms.collect())
-
-
-def test_bayes_prefers_the_matching_class(spark):
-    x = spark.createDataFrame([(1, "Positive", "good", 1.0), (2, "Negative", "bad", 1.0), (3, "Neutral", "ok", 1.0)], "review_id int, sentiment string, term string, weight double")
-    labels = x.select("review_id", "sentiment")
-    model = bayes.fit_bayes(x, labels, F.lit(3), 1.0)
-    out = bayes.score_bayes(x.drop("sentiment"), model, bayes.class_priors(labels)).join(labels, "review_id")
-    assert all(r["nb_sentiment"] == r["sentiment"] for r in out.collect())
+    df = spark.createDataFrame([(1, "good card good"), (2, "bad card"), (3, "good bad card"), (4, ""), (5, None)], "review_id int, cleaned_text string")
+    vocabulary = features.fit_vocabulary(features.vocab_stats(df), df, features.TfidfConfig(min_df=1, max_df=1.0))
+    norms = features.tfidf_weights(df, vocabulary).groupBy("review_id").agg(F.sum(F.col("weight") ** 2).alias("s"))
+    assert {r["review_id"]: r["s"] for r in norms.collect()} == {i: pytest.approx(1.0) for i in (1, 2, 3)}
+
+
+def _odd_texts(spark):
+    rng = random.Random(4)
+    words = ["good", "card", "bad", "a", "very", "not", "zz"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30))).replace("not", rng.choice(["not", "not!", "!"]))) for i in range(200)]
+    return spark.createDataFrame([*rows, (200, ""), (201, None), (202, "!!"), (203, "a a a"), (204, "good! good")], "review_id int, cleaned_text string").repartition(3)
+
+
+def test_term_arrays_equal_the_relational_forms(spark, monkeypatch):
+    df = _odd_texts(spark)
+    filled = df.fillna("", ["cleaned_text"])
+    relational = features.document_terms(filled).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    want = sorted(map(tuple, relational.collect()))
+    assert sorted(map(tuple, features.vocab_stats(df).collect())) == want
+    monkeypatch.setattr(terms, "_HELD", 20)  # counts shipped in many parts
+    assert sorted(map(tuple, features.vocab_stats(df.coalesce(1)).collect())) == want
+    vocabulary = features.fit_vocabulary(features.vocab_stats(df), df, features.TfidfConfig(max_features=25, min_df=2, max_df=0.6))
+    got = {}
+    for limit in (terms.SHIPPED, 0):
+        monkeypatch.setattr(terms, "SHIPPED", limit)
+        rows, size = features.sparse_features(filled.withColumn("n", F.length("cleaned_text")), filled.withColumn("n", F.length("cleaned_text")), vocabulary, columns=["n"])
+        got[limit] = (
+            {(r["review_id"], r["term"]): r["weight"] for r in features.tfidf_weights(filled, vocabulary).collect()},
+            {r["review_id"]: (r["n_known"], r["idf_mass"]) for r in features.known_terms(filled, vocabulary).collect()},
+            {r["term"]: r["mean_weight"] for r in features.mean_weights(filled, vocabulary).collect()},
+            {(r["review_id"], t): w for r in rows.collect() for t, w in zip(r["features"]["terms"], r["features"]["weights"], strict=True)},
+            features.matrix_shape(filled, vocabulary).first()["nnz"],
+            size,
+        )
+    first, second = got.values()
+    for a, b in zip(first, second, strict=True):
+        assert a == (pytest.approx(b) if not isinstance(a, dict) else {k: pytest.approx(v) for k, v in b.items()})
+    assert len(first[0]) == first[4] > 0
+
+
+def test_weights_stay_in_their_row(spark):
+    df = _odd_texts(spark)
+    vocabulary = features.fit_vocabulary(features.vocab_stats(df), df)
+    plan = features.tfidf_weights(df, vocabulary)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def _classified(spark, n=150):
+    rng = random.Random(9)
+    rows = []
+    for i in range(n):
+        label = rng.choice(["Positive", "Negative", "Negative", "Neutral"])
+        known = sorted(rng.sample(range(12), rng.randint(0, 6)))
+        rows.append((i, label, i % 3, (known, [rng.random() * (3 if (t + len(label)) % 4 == 0 else 1) for t in known])))
+    return rows, spark.createDataFrame(rows, "review_id int, sentiment string, fold int, features struct<terms: array<int>, weights: array<double>>").repartition(4)
+
+
+def _plain_bayes(train, alpha, size=12):
+    theta = {}
+    for c in CLASSES:
+        mass = [sum(w for _, s, _, (ts, ws) in train if s == c for t, w in zip(ts, ws, strict=True) if t == k) for k in range(size)]
+        theta[c] = [math.log((m + alpha) / (sum(mass) + alpha * size)) for m in mass]
+    prior = {c: math.log(sum(r[1] == c for r in train) / len(train)) for c in CLASSES}
+    return lambda f: max(CLASSES, key=lambda c: prior[c] + sum(w * theta[c][t] for t, w in zip(*f, strict=True)))
+
+
+def test_bayes_and_its_grid_equal_plain_python(spark):
+    rows, df = _classified(spark)
+    model = bayes.fit_bayes(df, 12, 0.5)
+    label = _plain_bayes(rows, 0.5)
+    assert {r["review_id"]: r["nb_sentiment"] for r in bayes.score_bayes(df, model).collect()} == {r[0]: label(r[3]) for r in rows}
+    for r in bayes.search_grid(df, 12, (0.01, 0.5, 5.0), 3).collect():
+        f1 = []
+        for fold in range(3):
+            label = _plain_bayes([x for x in rows if x[2] != fold], (0.01, 0.5, 5.0)[r["candidate"]])
+            pairs = [(x[1], label(x[3])) for x in rows if x[2] == fold]
+            score = 0.0
+            for c in CLASSES:
+                hit, truth, pred = (sum(k) for k in zip(*[(t == p == c, t == c, p == c) for t, p in pairs], strict=True))
+                score += truth / len(pairs) * (2 * hit / (truth + pred) if truth + pred else 0.0)
+            f1.append(score)
+        assert r["mean_f1"] == pytest.approx(sum(f1) / 3) and r["std_f1"] == pytest.approx(statistics.pstdev(f1))
+
+
+@pytest.mark.parametrize("limit", [lemma.SHIPPED, 0])
+def test_lemmas_with_null_and_repeated_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(lemma, "SHIPPED", limit)
+    rows = [(1, ["cards", "card", "berries", "bus"]), (1, ["berry", "cards"]), (None, ["cards"]), (None, []), (3, ["box", "boxes", "glasses"]), (4, None)]
+    df = spark.createDataFrame(rows, "review_id int, ws array<string>").repartition(2)
+    table = lemma.fit_lemmas(df, "ws")
+    assert {r["token"]: r["lemma"] for r in table.collect()} == {"cards": "card", "berries": "berry", "boxes": "box"}
+    out = lemma.lemmatize(df, "ws", table).collect()
+    want = [(1, ["card", "card", "berry", "bus"]), (1, ["berry", "card"]), (None, ["card"]), (None, []), (3, ["box", "box", "glasses"]), (4, None)]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+    texts = lemma.lemma_text(df.where("ws is not null"), "ws", table).collect()
+    assert sorted(r["cleaned_text"] for r in texts) == sorted(" ".join(ws) for _, ws in want if ws is not None)
 
 
 def test_generation(spark):
