@@ -16,16 +16,25 @@ from opinara.session import checkpointed, lookup_join
 SHIPPED = 32 << 20  # bytes of a lemma table that every task may hold
 
 
+def _split(texts: pa.Array) -> pa.Array:
+    """Lists of the tokens of single-spaced texts; an empty text has none."""
+    lists = pc.split_pattern(texts.cast(pa.string()), " ")
+    return pc.if_else(pc.equal(texts, ""), pa.scalar([], lists.type), lists)
+
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different tokens of each batch."""
     for batch in batches:
-        found = batch.column(0).flatten().unique()
+        column = batch.column(0)
+        lists = column if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else _split(column)
+        found = lists.flatten().unique()
         yield pa.RecordBatch.from_arrays([found.filter(found.is_valid())], names=["token"])
 
 
 def vocabulary(df: DataFrame, tokens_col: str) -> DataFrame:
-    """Distinct tokens; repeated tokens collapse batch by batch, before they are rows."""
-    return df.select(tokens_col).mapInArrow(_distinct, "token string").distinct()
+    """Tokens of lists or single-spaced texts; repeated ones collapse batch by batch, before they
+    are rows, and may be met once per batch."""
+    return df.select(tokens_col).mapInArrow(_distinct, "token string")
 
 
 def lemma_map(vocab: DataFrame) -> DataFrame:
@@ -107,14 +116,15 @@ def _joined(df: DataFrame, tokens_col: str, lemmas: DataFrame) -> DataFrame:
     return joined.select(*[(tokens if c == tokens_col else F.col("_row")[c]).alias(c) for c in df.columns])
 
 
-def lemma_text(df: DataFrame, tokens_col: str, lemmas: DataFrame, text_col: str = "cleaned_text") -> DataFrame:
-    """``df`` with the tokens' lemmas joined to a text, in place of the tokens."""
+def lemma_text(df: DataFrame, text_col: str, lemmas: DataFrame) -> DataFrame:
+    """``df`` with the tokens of a single-spaced text replaced by their lemmas."""
     table = shipped(lemmas)
     if table is None:
-        return _joined(df, tokens_col, lemmas).withColumn(text_col, F.array_join(tokens_col, " ")).drop(tokens_col)
+        listed = df.withColumn(text_col, F.array_remove(F.split(text_col, " "), ""))
+        return _joined(listed, text_col, lemmas).withColumn(text_col, F.array_join(text_col, " "))
     shared = df.sparkSession.sparkContext.broadcast(table)
-    look = F.arrow_udf(lambda tokens: pc.binary_join(_replaced(tokens, shared.value), " "), "string")
-    return df.withColumn(text_col, look(F.col(tokens_col))).drop(tokens_col)
+    look = F.arrow_udf(lambda texts: pc.binary_join(_replaced(_split(texts), shared.value), " "), "string")
+    return df.withColumn(text_col, look(F.col(text_col)))
 
 
 def fit_lemmas(df: DataFrame, tokens_col: str) -> DataFrame:

@@ -52,7 +52,7 @@ class _Counts:
         # A word is -1 - its number, a pair both numbers in one.
         keys = np.concatenate([-1 - word, (word[pair] << 31) | word[pair + 1]])
         row = np.concatenate([rows, rows[pair]])
-        order = np.lexsort((row, keys))
+        order = np.argsort(keys, kind="stable")  # rows of a key stay in order
         keys, row = keys[order], row[order]
         new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         fresh = np.append(True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.functions import constants as C
 from opinara.functions import text as T
+from opinara.operators.dictionary import clean
 from opinara.operators.lemma import fit_lemmas, lemma_text
 from opinara.session import checkpointed
 from opinara.sources.lexicon import OPINION_WORDS
@@ -64,31 +65,31 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tokens(df: DataFrame) -> DataFrame:
-    """The columns with `review_neg` in place of the text, and the cleaned tokens `_ws`."""
-    d = df.withColumn("review_neg", T.prepare_training(F.col("reviewText")))
-    return d.withColumn("_ws", T.clean_tokens(F.col("review_neg"), collapsed=True))
+def _stripped(df: DataFrame) -> DataFrame:
+    """The columns but for the text, with `cleaned_text` before lemmas and the two counts."""
+    others = [c for c in df.columns if c != "reviewText"]
+    made = df.select(*others, clean(F.col("reviewText")).alias("_c"))
+    return made.select(*others, F.col("_c.cleaned").alias("cleaned_text"), "_c.exclamation_count", "_c.uppercase_count")
 
 
 def corpus_lemmas(df: DataFrame) -> DataFrame:
     """The lemma table of the cleaned tokens of these rows."""
-    return fit_lemmas(_tokens(df.select("reviewText")).select("_ws"), "_ws")
+    return fit_lemmas(_stripped(df.select("reviewText")), "cleaned_text")
 
 
-def cleaned(df: DataFrame, lemmas: DataFrame | None = None, marked_columns: dict[str, Column] | None = None) -> DataFrame:
-    """The columns but for the text, with `cleaned_text` and columns made of `review_neg`.
+def cleaned(df: DataFrame, lemmas: DataFrame | None = None, counts: bool = False) -> DataFrame:
+    """The columns but for the text, with `cleaned_text` and, on request, the two counts.
 
     Without a given lemma table that of these rows is fitted; texts are then cleaned once into
     a written table, which is read to fit and to apply it.
     """
-    d = _tokens(df).withColumns(marked_columns or {}).drop("review_neg", "reviewText")
+    d = _stripped(df)
+    if not counts:
+        d = d.drop("exclamation_count", "uppercase_count")
     if lemmas is None:
         d = checkpointed(d)
-        lemmas = fit_lemmas(d, "_ws")
-    else:
-        # One generated row per row: a Python argument must be a plain column, not a lambda.
-        d = d.select(*[c for c in d.columns if c != "_ws"], F.inline(F.array(F.struct("_ws"))))
-    return lemma_text(d, "_ws", lemmas)
+        lemmas = fit_lemmas(d, "cleaned_text")
+    return lemma_text(d, "cleaned_text", lemmas)
 
 
 def literal(value: str | None) -> str:

@@ -193,7 +193,7 @@ def prepared_split(spark, sf_dir):
     """
     split = split_rows(spark, sf_dir).select("review_id", "overall", "sentiment", "split")
     docs = documents(spark, sf_dir).select("review_id", "reviewText").join(split, "review_id")
-    rows = cleaned(docs, marked_columns=X.marked_counts())
+    rows = cleaned(docs, counts=True)
     return checkpointed(rows.withColumn("review_length", T.char_length(F.col("cleaned_text"))))
 
 

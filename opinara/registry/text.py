@@ -8,6 +8,7 @@ from opinara.functions import constants as C
 from opinara.functions import scores as S
 from opinara.functions import text as T
 from opinara.operators import lemma as L
+from opinara.operators.dictionary import clean
 from opinara.operators.profile import counts_json
 from opinara.registry.base import (
     B,
@@ -182,9 +183,7 @@ _text_query(
     + f"{sql_exclaims('review_neg')} AS exclamation_count, {sql_upper_count('review_neg')} AS uppercase_count FROM cleaned",
 )
 def numeric_features(spark, sf_dir):
-    from opinara.operators.features import marked_counts
-
-    rows = cleaned(texts(spark, sf_dir), marked_columns=marked_counts())
+    rows = cleaned(texts(spark, sf_dir), counts=True)
     return rows.select("review_id", T.char_length(F.col("cleaned_text")).alias("review_length"), "exclamation_count", "uppercase_count")
 
 
@@ -240,8 +239,8 @@ _LEMMA_CTE = (
 
 
 def _clean_tokens(spark, sf_dir):
-    marked = T.prepare_training(F.col("reviewText"))
-    return texts(spark, sf_dir).select("review_id", T.clean_tokens(marked, collapsed=True).alias("ws"))
+    """(review_id, ws): cleaned, single-spaced text before lemmas."""
+    return texts(spark, sf_dir).select("review_id", clean(F.col("reviewText"))["cleaned"].alias("ws"))
 
 
 @query("lemma_map", with_(SQL_TEXTS, sql_stripped("texts"), _TOKENS_CTE, _LEMMA_CTE) + "SELECT token, lemma FROM lemma_map")
@@ -265,9 +264,7 @@ _LEMMATIZE_SQL = (
 @query("lemmatize", _LEMMATIZE_SQL)
 def lemmatize(spark, sf_dir):
     toks = checkpointed(_clean_tokens(spark, sf_dir))
-    return L.lemmatize(toks, "ws", L.fit_lemmas(toks, "ws")).select(
-        "review_id", T.join_tokens(F.col("ws")).alias("lemmas")
-    )
+    return L.lemma_text(toks, "ws", L.fit_lemmas(toks, "ws")).withColumnRenamed("ws", "lemmas")
 
 
 @query(
@@ -278,7 +275,8 @@ def lemmatize(spark, sf_dir):
 def lemma_lookup(spark, sf_dir):
     """Token counts after the lookup: counted before the join, so each token joins once."""
     toks = _clean_tokens(spark, sf_dir)
-    counts = toks.select(F.explode("ws").alias("token")).groupBy("token").agg(
+    split = F.explode(F.array_remove(F.split("ws", " "), ""))
+    counts = toks.select(split.alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("n")
     )
     lemmas = L.lemma_map(counts.select("token"))

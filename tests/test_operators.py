@@ -5,8 +5,10 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from opinara.functions import constants as C
+from opinara.functions import text as T
 from opinara.functions.constants import CLASSES
-from opinara.operators import bayes, enhance, evaluate, features, generate, lemma, lexicon, profile, quantiles, sampling, terms
+from opinara.operators import bayes, dictionary, enhance, evaluate, features, generate, lemma, lexicon, profile, quantiles, sampling, terms
 from opinara.session import lookup_join
 from opinara.sources.lexicon import built_in_lexicon
 
@@ -263,8 +265,25 @@ def test_lemmas_with_null_and_repeated_ids(spark, monkeypatch, limit):
     out = lemma.lemmatize(df, "ws", table).collect()
     want = [(1, ["card", "card", "berry", "bus"]), (1, ["berry", "card"]), (None, ["card"]), (None, []), (3, ["box", "box", "glasses"]), (4, None)]
     assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
-    texts = lemma.lemma_text(df.where("ws is not null"), "ws", table).collect()
-    assert sorted(r["cleaned_text"] for r in texts) == sorted(" ".join(ws) for _, ws in want if ws is not None)
+    texts = df.where("ws is not null").withColumn("ws", F.array_join("ws", " "))
+    assert {r["token"] for r in lemma.fit_lemmas(texts, "ws").collect()} == {"cards", "berries", "boxes"}
+    assert sorted(r["ws"] for r in lemma.lemma_text(texts, "ws", table).collect()) == sorted(" ".join(ws) for _, ws in want if ws is not None)
+
+
+def test_dictionary_cleaning_equals_the_column_functions(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "_TOKENS", 30)
+    rng = random.Random(6)
+    parts = ["not", "NO", "never", "didn't", "CAN'T", "Good", "cards", "THE", "a", "!", "so!!", "12", "é", "Über", "ǅ", "Ω", "ab-cd", "NOT_x", "_", "İ", "\u212a"]
+    blanks = [" ", "  ", "\t", "\n", "\u00a0", "\x1c", "\u3000"]
+    texts = ["".join(rng.choice(parts) + rng.choice(blanks) for _ in range(rng.randint(0, 25))) for _ in range(300)] + [None, "", " \n", "x " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    marked = T.prepare_training(F.col("t"))
+    plain = df.select("i", T.clean_text(marked, collapsed=True).alias("cleaned"), T.exclamation_count(marked).alias("e"), T.uppercase_count(marked).alias("u"))
+    got = df.select("i", dictionary.clean(F.col("t")).alias("c")).select("i", "c.*")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    serving = dictionary.Cleaner(("not", "no"), "letters", C.SERVING_NEGATORS, 2, expand=False)
+    plain = df.select("i", T.clean_text(T.prepare_serving(F.col("t")), ("not", "no"), "letters", collapsed=True))
+    assert sorted(map(tuple, df.select("i", dictionary.clean(F.col("t"), serving)["cleaned"]).collect())) == sorted(map(tuple, plain.collect()))
 
 
 def test_generation(spark):
