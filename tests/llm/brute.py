@@ -64,21 +64,25 @@ def simhash_groups(docs, radius=2):
     return [(f"{prints[k]:016x}", low.get(g.find(k))) for k in range(len(docs))]
 
 
-def line_runs(docs, n):
-    """{id: (n_lines, n_removed, n_runs, rest)} of (id, text) with distinct ids."""
-    seen, out = set(), {}
-    for i, text in sorted(docs):
+def line_runs(docs, n, long=50):
+    """[(n_lines, n_removed, n_runs, reach, rest)] in the order of (id, text) pairs with ids in order."""
+    seen, out = set(), []
+    for _, text in docs:
         lines = (text or "").split("\n")
         full = [k for k, line in enumerate(lines) if WORD.search(line)]
-        gone = set()
-        for s in range(len(full) - n + 1):
-            run = tuple(lines[k] for k in full[s : s + n])
-            if run in seen:
-                gone.update(range(s, s + n))
-            seen.add(run)
+        gone, reach = set(), 0
+        sizes = {n * 2**k for k in range(20) if n * 2**k <= len(full)}
+        for size in sorted(sizes | {1}):
+            for s in range(len(full) - size + 1):
+                run = tuple(lines[k] for k in full[s : s + size])
+                counts = size > 1 or n == 1 or len(WORD.findall(run[0])) >= long
+                if run in seen and counts:
+                    gone.update(range(s, s + size))
+                    reach = max(reach, size)
+                seen.add(run)
         cut = {full[s] for s in gone}
         rest = "\n".join(line for k, line in enumerate(lines) if k not in cut)
-        out[i] = (len(full), len(gone), sum(1 for s in gone if s - 1 not in gone), rest)
+        out.append((len(full), len(gone), sum(1 for s in gone if s - 1 not in gone), reach, rest))
     return out
 
 

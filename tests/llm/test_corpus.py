@@ -75,8 +75,8 @@ def test_line_runs(spark, n):
     pool = ["a", "b", "c", "", "  ", "long line", "é"]
     docs = [(i, None if i % 17 == 0 else "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["_id"]: (r.n_lines, r.n_removed, r.n_runs, r.kept) for r in lines.dedup(df, n).collect()}
-    assert got == brute.line_runs(docs, n)
+    got = {r["_id"]: (r.n_lines, r.n_removed, r.n_runs, r.reach, r.kept) for r in lines.dedup(df, n).collect()}
+    assert [got[i] for i, _ in docs] == brute.line_runs(docs, n)
 
 
 def test_simhash_groups(spark, sf_dir):
@@ -151,3 +151,17 @@ def test_edges(messy, empty):
     # Texts of one id and repeated rows: later copies lose what the first keeps.
     rest = {r.doc_id: r.n_removed for r in suffixes.dedup(messy).where("doc_id in (5, 6)").collect()}
     assert rest[5] > 0 and rest[6] == 150_000 + 200
+
+
+def test_long_lines_and_equal_rows(spark):
+    long, short = " ".join(f"w{i}" for i in range(lines.LONG)), "only a few words"
+    texts = [long, f"a\n{long}\nb", short, short, f"x\n{short}", "\n".join("pqrstuv"), "\n".join("opqrstuvw"), "p\n\nq"]
+    docs = list(enumerate(texts))
+    got = {r["_id"]: (r.n_lines, r.n_removed, r.n_runs, r.reach, r.kept) for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in docs] == brute.line_runs(docs, 2)
+    assert got[0][4] == long and got[1][4] == "a\nb" and got[6][3] == 4
+    # Rows equal in id and text: one stays, the others are copies.
+    rows = [(None, "one\ntwo\nthree")] * 40 + [(7, long)] * 3 + [(8, short)] * 3 + [(9, None)] * 2
+    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(str(r.kept) for r in out) == sorted(["one\ntwo\nthree", *[""] * 39, long, "", "", short, short, short, "", ""])
+    assert {r.reach for r in out if r["_id"] is None} == {0, 2}

@@ -227,7 +227,8 @@ def test_pipeline_stages_match_plain_python(spark, sf_dir):
     ids = sorted(have)
     ok = dict(zip(ids, net.scores([have[i] for i in ids]) < toxicity.THRESHOLD, strict=True))
     want = [{i: t for i, t in have.items() if ok[i]}]
-    want.append({i: x[3] for i, x in brute.line_runs(list(want[0].items()), lines.MIN_LINES).items()})
+    kept = sorted(want[0].items())
+    want.append({i: x[4] for (i, _), x in zip(kept, brute.line_runs(kept, lines.MIN_LINES), strict=True)})
     groups = zip(want[1].items(), brute.simhash_groups(list(want[1].items())), strict=True)
     want.append({i: t for (i, t), (_, low) in groups if i == low})
     want.append({i: x[3].decode(errors="ignore") for i, x in brute.repeated_bytes(want[2].items(), suffixes.LENGTH).items()})
