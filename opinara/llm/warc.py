@@ -9,8 +9,8 @@
    to their first one before the shuffle, and every record is joined with it.
 4. `dedup` writes the deduplicated archives with fresh headers: new record ids and lengths; a
    revisit names the new id, the address and the date of its response and carries no payload.
-   Revisits are made of headers alone; the payloads of responses are read once more and only
-   meet the ids that go, in an anti join for which Spark ships the ids where they are few.
+   Revisits are made of headers alone; the payloads of responses are read once more and meet
+   the ids that go in an anti join: shipped up to `SHIPPED` of them, shuffled beyond.
 5. `page_records` reads such archives back; a revisit finds its payload's length by the join with the
    response it refers to.
 
@@ -41,6 +41,7 @@ from opinara.session import scratch_path
 
 LEAST = 100  # bytes; smaller payloads cost less than their revisit record
 RECORDS = 20_000  # of an archive
+SHIPPED = 200_000  # record ids that every task may hold
 _VERSION = "WARC/1.1"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "record_id string, page_id long, kind string, url string, date string, digest string, refers_to string, payload binary"
@@ -89,7 +90,7 @@ def _record(kind: Column, record_id: Column, fields: list[Column], payload: Colu
 def _save(records: DataFrame, path: str) -> str:
     # Spark puts the separator after each value, as the format wants it after each record.
     writer = records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS).text(path)
+    writer.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS).text(path)
     return path
 
 
@@ -229,8 +230,11 @@ def resolved(records: DataFrame, least: int = LEAST) -> DataFrame:
 def dedup(spark: SparkSession, source: str, target: str, least: int = LEAST) -> str:
     """Writes the archives of `source` to `target`, each payload once."""
     revisits = scratch(resolved(read(spark, source, payloads=False), least))
+    # Payloads stay where they are while the ids that go are few enough to ship.
+    gone = revisits.select("record_id")
+    gone = F.broadcast(gone) if gone.count() <= SHIPPED else gone
     only = F.when(F.col("kind") == "response", F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("not a response: "), F.coalesce("kind", F.lit("a record without a type")))))
-    responses = read(spark, source).withColumn("kind", only).join(revisits.select("record_id"), "record_id", "left_anti")
+    responses = read(spark, source).withColumn("kind", only).join(gone, "record_id", "left_anti")
     fields = [
         _field("WARC-Date", F.col("date")),
         _field("WARC-Target-URI", F.col("url")),
