@@ -1,24 +1,25 @@
 """Near-duplicate vectors by sorted projection passes.
 
 1. Equal vectors are folded to one representative with its number of copies.
-2. Each pass hashes every vector, less the mean of all unit vectors, to `BITS` signs of random
-   projections, concatenated, and sorts
-   all vectors by that number; near vectors share long prefixes and come to stand close.  Every
-   vector is compared with the next `WINDOW` in order, by cosine in double precision.  All
-   passes are one range-partitioned sort by (pass, number), and windows go on across the
-   borders of partitions.
+2. Each pass hashes every vector and sorts all vectors by that number; near vectors share long
+   prefixes and come to stand close.  The number begins with the nearest of `CELLS` centres and
+   goes on with `BITS` signs of random projections of the vector less the mean of its cell.
+   Every vector is compared with the next `WINDOW` in order, by cosine in double precision.
+   All passes are one range-partitioned sort by (pass, number), and windows go on across the
+   borders of partitions.  Of a dense stretch a spanning forest of its links leaves a task.
 3. The verified pairs of all passes are united to components.
 4. A bounded window cannot hold a dense group.  So each component is then compared in full: its
    members are dealt into tiles, and every pair of tiles is one block product that adds to the
    members' counts of linked vectors.  Pairs are counted, never emitted.
 
-Recall: in spread vectors a pair with cosine 0.95 agrees on a projection's sign with probability
-0.90; around a common direction of mean cosine c its cosine after centring is (0.95 - c) / (1 - c).
-A pass has to agree on the bits that part the table into stretches of `WINDOW`.  The number of
-passes follows from the measured count and mean cosine, so that a lone pair at the threshold is
-expected with probability `RECALL` at least; they run in turns of `PASSES`.  Where vectors crowd
-around several directions the mean tells less than this and recall is lower.  The passes only
-have to connect a group; the counts inside it are then exact.
+Centres and means come from `SAMPLE` representatives at most, others for every pass: vectors may
+crowd around several directions, and a mean taken over all of them would leave each crowd on
+one side of most projections.  The sample also tells how many passes there are: partners at
+the threshold are made up for its vectors, and a partner is met in a pass if cell and as many
+bits agree as part its cell's share of the table into stretches of `WINDOW`.  Passes are added
+until such partners are met with probability `RECALL` on average; they run in turns of `PASSES`.
+The passes only have to connect a group; the counts inside it are then exact.  Cosines within
+1e-12 of the threshold are summed anew, without rounding on the way, in passes and counts alike.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component link
 with nothing and are their own component, as are vectors of another length than all others'
@@ -29,7 +30,9 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -38,11 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm.common import components, scratch
+from opinara.llm.simhash import _Forest
 
 COSINE = 0.95
 PASSES = 16
 RECALL = 0.98
-BITS = 48
+BITS = 42
+CELLS = 64
+SAMPLE = 4096
 WINDOW = 32
 TILE = 1024
 
@@ -76,46 +82,83 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_id"), dims, pa.array(out, pa.binary())], names=["_id", "dim", "vec"])
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task and length: number and sum of the unit vectors."""
-    held: dict[int, tuple[int, np.ndarray]] = {}
-    for batch in batches:
-        dims = np.asarray(batch.column("dim"))
-        for dim in np.unique(dims).tolist():
-            x = _units(_matrix(batch.filter(pa.array(dims == dim)).column("vec")))
-            n, total = held.get(dim, (0, 0.0))
-            held[dim] = n + len(x), total + x.sum(axis=0)
-    for dim, (n, total) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([n]), pa.array([total.tobytes()])], names=["dim", "n", "total"])
-
-
-def means(reps: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
-    """Number and mean of the unit vectors of each length."""
-    out: dict[int, tuple[int, np.ndarray]] = {}
-    for row in reps.select("dim", "vec").mapInArrow(_sums, "dim int, n long, total binary").collect():
-        n, total = out.get(row.dim, (0, 0.0))
-        out[row.dim] = n + row.n, total + np.frombuffer(row.total, dtype="<f8")
-    return {dim: (n, total / n) for dim, (n, total) in out.items()}
-
-
-def passes_for(n: int, mean_cosine: float, window: int = WINDOW, cosine: float = COSINE) -> int:
-    """Passes after which a lone pair at the threshold is expected with probability RECALL."""
-    c = min(max(mean_cosine, 0.0), cosine - 0.05)  # above that the threshold links nearly all
-    agree = 1 - np.arccos((cosine - c) / (1 - c)) / np.pi
-    meets = agree ** max(np.log2(max(n, 1) / window), 0.0)
-    return PASSES if meets >= 1 else max(PASSES, int(np.ceil(np.log(1 - RECALL) / np.log1p(-meets))))
+@dataclass(frozen=True)
+class Plan:
+    """Sampled unit vectors of each length, the expected number of vectors, and the passes."""
+
+    sample: dict[int, np.ndarray]
+    share: dict[int, float]  # vectors of a length for each sampled one
+    passes: int = PASSES
+
+    def cells(self, dim: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Centres of a pass, the mean of each cell, and its expected number of vectors."""
+        known = self.sample.get(dim)
+        if known is None:
+            return np.zeros((1, dim)), np.zeros((1, dim)), np.zeros(1)
+        rng = np.random.default_rng([dim, number, 7])
+        centres = known[rng.permutation(len(known))[:CELLS]]
+        cell = (known @ centres.T).argmax(axis=1)
+        size = np.bincount(cell, minlength=len(centres))
+        means = np.zeros_like(centres)
+        np.add.at(means, cell, known)
+        return centres, means / np.maximum(size, 1)[:, None], size * self.share[dim]
+
+    def codes(self, x: np.ndarray, number: int) -> np.ndarray:
+        """The numbers of unit vectors of one length."""
+        centres, means, _ = self.cells(x.shape[1], number)
+        cell = (x @ centres.T).argmax(axis=1)
+        signs = (x - means[cell]) @ _planes(x.shape[1], number) >= 0
+        return (cell.astype(np.int64) << BITS) | (signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)))
+
+    def met(self, dim: int, number: int, window: int, cosine: float) -> np.ndarray:
+        """Whether the sampled vectors meet a made-up partner at the threshold."""
+        x = self.sample[dim]
+        rng = np.random.default_rng([dim, number, 13])
+        other = rng.standard_normal(x.shape)
+        other -= (other * x).sum(axis=1, keepdims=True) * x
+        other /= np.maximum(np.sqrt((other * other).sum(axis=1, keepdims=True)), 1e-300)
+        y = cosine * x + np.sqrt(1 - cosine**2) * other
+        a, b = self.codes(x, number), self.codes(y, number)
+        share = self.cells(dim, number)[2][a >> BITS]
+        bits = np.clip(np.floor(np.log2(np.maximum(share / window, 1.0))), 0, BITS).astype(np.int64)
+        return (a >> (BITS - bits)) == (b >> (BITS - bits))
+
+
+def planned(reps: DataFrame, window: int = WINDOW, cosine: float = COSINE) -> Plan:
+    """Samples the representatives and sets the number of passes."""
+    number = reps.count()
+    rows = reps.select("dim", "vec").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    known: dict[int, list[bytes]] = {}
+    for r in rows:
+        known.setdefault(r.dim, []).append(r.vec)
+    sample = {dim: _units(np.frombuffer(b"".join(vs), dtype="<f8").reshape(-1, dim)) for dim, vs in known.items()}
+    plan = Plan(sample, dict.fromkeys(sample, number / max(len(rows), 1)))
+    return replace(plan, passes=max([passes_for(plan, dim, window, cosine) for dim in sample], default=PASSES))
+
+
+def passes_for(plan: Plan, dim: int, window: int = WINDOW, cosine: float = COSINE) -> int:
+    """Passes after which a partner at the threshold is met with probability `RECALL` on average.
+
+    Every vector's chance of a pass is told by 4 x `PASSES` of them, half a hit more where none hit.
+    """
+    tries = 4 * PASSES
+    hits = sum(plan.met(dim, number, window, cosine).astype(float) for number in range(tries))
+    misses = 1 - np.maximum(hits, 0.5) / tries
+    number = PASSES
+    while (1 - misses**number).mean() < RECALL:
+        number += PASSES
+    return number
 
 
-def _hash(passes: range, centres: dict[int, np.ndarray]):
+def _hash(passes: range, plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                x = _units(_matrix(part.column("vec"))) - centres[int(dim)]
+                x = _units(_matrix(part.column("vec")))
                 for number in passes:
-                    code = ((x @ _planes(int(dim), number)) >= 0) @ weights
+                    code = plan.codes(x, number)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(code), number, dtype=np.int32)),
@@ -130,6 +173,18 @@ def _hash(passes: range, centres: dict[int, np.ndarray]):
     return run
 
 
+def _surely(value: np.ndarray, x: Callable[[tuple], tuple[np.ndarray, np.ndarray]], cosine: float) -> np.ndarray:
+    """Which cosines reach the threshold; `x` gives the two vectors of a place.
+
+    Sums depend on their order in the last digits, so what is that near is summed exactly.
+    """
+    hit = value >= cosine
+    for place in zip(*np.nonzero(np.abs(value - cosine) < 1e-12), strict=True):
+        a, b = x(place)
+        hit[place] = math.fsum(a * b) >= cosine
+    return hit
+
+
 def _neighbours(window: int, cosine: float):
     """Sorted rows: links within the window, and the rows at the partition's ends (side 0: its
     first, side 1: its last), whose windows go on in the neighbouring partitions."""
@@ -171,16 +226,20 @@ def _edge_rows(rows: list[tuple], side: int) -> pa.RecordBatch:
 
 
 def _pairs(rows: list[tuple], window: int, cosine: float, old: int) -> pa.RecordBatch:
-    """Links between rows at most `window` apart; pairs of the first `old` rows are known."""
+    """A forest of the links between rows at most `window` apart; pairs of the first `old` rows
+    are known."""
     a, b = [], []
     groups = [(r[0], r[1]) for r in rows]
     cuts = [0, *[i for i in range(1, len(rows)) if groups[i] != groups[i - 1]], len(rows)]
     for s, e in zip(cuts[:-1], cuts[1:], strict=True):
         reps = np.array([r[3] for r in rows[s:e]])
         x = _units(np.frombuffer(b"".join(r[4] for r in rows[s:e]), dtype="<f8").reshape(e - s, -1))
+        forest = _Forest(e - s)
         for step in range(1, min(window, e - s - 1) + 1):
-            hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= cosine)
+            value = np.einsum("ij,ij->i", x[:-step], x[step:])
+            hit = np.flatnonzero(_surely(value, lambda k: (x[k[0]], x[k[0] + step]), cosine))  # noqa: B023
             hit = hit[hit + step + s >= old]
+            hit = hit[forest.join(hit, hit + step)]
             a.append(reps[hit])
             b.append(reps[hit + step])
     if not a or not sum(map(len, a)):
@@ -206,16 +265,15 @@ def _across(window: int, cosine: float):
 
 def candidates(reps: DataFrame, passes: int | None = None, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
     """(a, b): verified links between representatives (rep, dim, vec)."""
-    known = means(reps)
-    centres = {dim: mean for dim, (_, mean) in known.items()}
-    passes = passes or max([passes_for(n, float(mean @ mean), window, cosine) for n, mean in known.values()], default=PASSES)
+    plan = planned(reps, window, cosine)
+    passes = passes or plan.passes
     # Each turn is written, so that its sorted copies can go before the next.
-    turns = [_turn(reps, range(a, min(a + PASSES, passes)), centres, window, cosine) for a in range(0, passes, PASSES)]
+    turns = [_turn(reps, range(a, min(a + PASSES, passes)), plan, window, cosine) for a in range(0, passes, PASSES)]
     return reduce(DataFrame.unionByName, turns).distinct()
 
 
-def _turn(reps: DataFrame, passes: range, centres: dict[int, np.ndarray], window: int, cosine: float) -> DataFrame:
-    hashed = reps.select("rep", "dim", "vec").mapInArrow(_hash(passes, centres), "pass int, dim int, code long, rep long, vec binary")
+def _turn(reps: DataFrame, passes: range, plan: Plan, window: int, cosine: float) -> DataFrame:
+    hashed = reps.select("rep", "dim", "vec").mapInArrow(_hash(passes, plan), "pass int, dim int, code long, rep long, vec binary")
     order = ["pass", "dim", "code", "rep"]
     dealt = hashed.repartitionByRange(*order).sortWithinPartitions(*order)
     found = scratch(dealt.mapInArrow(_neighbours(window, cosine), _FOUND))
@@ -260,7 +318,8 @@ def _block(cosine: float):
                 if not own:
                     continue
                 mine, whose = np.concatenate(own), np.concatenate(own_reps)
-                linked = (mine @ x.T >= cosine) & (whose[:, None] != reps[None, :])
+                linked = _surely(mine @ x.T, lambda k: (mine[k[0]], x[k[1]]), cosine)  # noqa: B023
+                linked &= whose[:, None] != reps[None, :]
                 got = (np.zeros(len(mine), dtype=np.int64) if got is None else got) + linked @ copies
         if (done := close()) is not None:
             yield done
