@@ -1,4 +1,7 @@
-"""Parameters of a run, with the defaults of the main profile."""
+"""Parameters of a run, with the defaults of the main profile.
+
+FIXED VALUES: results depend on these defaults.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ class EnhanceConfig:
 
 @dataclass(frozen=True)
 class TfidfConfig:
-    """Vocabulary limits; ``max_features`` also bounds the broadcast term table."""
+    """Vocabulary limits; ``max_features`` also bounds the term table that tasks hold."""
 
     max_features: int = 8000
     min_df: int = 2

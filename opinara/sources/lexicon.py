@@ -7,6 +7,7 @@ test every scorer; it reproduces no published lexicon.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEXICON_SCHEMA = T.StructType(
@@ -63,7 +64,12 @@ def built_in_lexicon(spark: SparkSession) -> DataFrame:
 
 
 def read_lexicon(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Delimited file with the three columns, no header; first entry of a token wins."""
-    return (
-        spark.read.schema(LEXICON_SCHEMA).option("sep", sep).csv(path).dropDuplicates(["token"])
-    )
+    """Delimited file with the three columns, no header.
+
+    Of several entries of a token that with the smallest valence, then polarity, is taken,
+    whatever their order in the files; nulls come first.
+    """
+    rows = spark.read.schema(LEXICON_SCHEMA).option("sep", sep).csv(path)
+    values = [c for c in rows.columns if c != "token"]
+    entry = F.min(F.struct(*values)).alias("entry")
+    return rows.groupBy("token").agg(entry).select("token", "entry.*")

@@ -9,6 +9,7 @@ from opinara.operators import generate as G
 from opinara.operators.models import resolve_text_column
 from opinara.plans.tasks import run_tasks
 from opinara.sources import files, results
+from opinara.sources.lexicon import read_lexicon
 from opinara.sources.reviews import scan_reviews, with_review_id
 
 TEXTS = ["This was amazing", "It was okay", "I hated it"]
@@ -114,3 +115,9 @@ def test_tasks_payload(spark, tmp_path):
     assert row["service_response_task"]["selected_review"]["overall"] == 2.0
     assert row["service_response_task"]["response"].startswith("why?")
     assert C.SERVICE_TOKENS == 150 and F
+
+
+def test_lexicon_with_repeated_tokens(spark, tmp_path):
+    path = _write(tmp_path / "lexicon.tsv", "good\t1.5\t0.5\nbad\t-1.0\t-0.2\ngood\t1.2\t0.9\n")
+    rows = {r["token"]: (r["valence"], r["polarity"]) for r in read_lexicon(spark, path).collect()}
+    assert rows == {"good": (1.2, 0.9), "bad": (-1.0, -0.2)}
