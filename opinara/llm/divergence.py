@@ -78,16 +78,15 @@ class _Counts:
 
     def ship(self) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in self.groups.items():
-            # A row without a term tells that the group is there.
-            terms = [None, *n]
-            size = len(terms)
+            if not n:
+                continue
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang] * size),
-                    pa.array([source] * size),
-                    pa.array(terms, pa.binary()).cast(pa.string(), safe=False),
-                    pa.array([0, *n.values()], pa.int64()),
-                    pa.array([0, *(docs[t] for t in n)], pa.int64()),
+                    pa.array([lang] * len(n)),
+                    pa.array([source] * len(n)),
+                    pa.array(n, pa.binary()).cast(pa.string(), safe=False),
+                    pa.array(n.values(), pa.int64()),
+                    pa.array([docs[t] for t in n], pa.int64()),
                 ],
                 names=["lang", "source", "term", "n", "docs"],
             )
@@ -107,32 +106,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from held.ship()
 
 
-def counted(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(lang, source, term, n, docs); a row with a null term for every (lang, source)."""
+def _read(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source"), empty(text_col).cast("binary").alias("text"))
-    parts = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source"), empty(text_col).cast("binary").alias("text"))
+
+
+def counted(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """(lang, term, source, n, whole, lead) of the kept terms; one row of a term leads.
+
+    Partial counts meet once, dealt by language and term: a key has a row for each task and
+    source at most, and both sums follow from that one exchange.
+    """
+    parts = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    counts = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = W.partitionBy("lang", "term")
+    counts = counts.withColumn("whole", F.sum("n").over(term)).withColumn("d", F.sum("docs").over(term))
+    counts = counts.withColumn("lead", F.col("source") == F.min("source").over(term))
+    return counts.where(F.col("d") >= least).select("lang", "term", "source", "n", "whole", "lead")
 
 
 def _chance(n: Column, total: Column, kept: Column) -> Column:
     """1 + floor(SCALE (n + 1) / (total + kept)), exact also where the product leaves a long."""
-    return F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (total + kept).cast("decimal(20,0)")) + 1
+    div = lambda a, b: F.call_function("div", a, b)
+    wide = div(F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (total + kept).cast("decimal(20,0)"))
+    return F.when(n < 9 * SCALE, div(F.lit(SCALE) * (n + 1), total + kept)).otherwise(wide) + 1
 
 
-def prepared(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def prepared(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Kept terms (lang, source, term, n, whole, p, q) and groups (lang, source, v, p0).
 
     `whole` is the term's count in the language, q its chance there, p0 the chance in the group
     of a term that it lacks.
     """
-    counts = scratch(counted(docs))
-    langs = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("whole"), F.sum("docs").alias("d"))
-    langs = langs.where(F.col("d") >= least).drop("d")
-    kept = scratch(counts.join(langs, ["lang", "term"]).select("lang", "term", "source", "n", "whole"))
-    sizes = langs.groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("total"))
+    read = _read(docs, lang_col, source_col, text_col)
+    kept = scratch(counted(read, least))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("own"))
-    groups = counts.where("term is null").select("lang", "source").join(sizes, "lang", "left").join(sums, ["lang", "source"], "left")
+    sizes = kept.where("lead").groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("total"))
+    groups = read.select("lang", "source").distinct().join(sizes, "lang", "left").join(sums, ["lang", "source"], "left")
     groups = groups.fillna(0, ["v", "total", "own"])
     p0 = F.when(F.col("v") > 0, _chance(F.lit(0).cast("long"), F.col("own"), F.col("v")))
     groups = scratch(groups.withColumn("p0", p0))
@@ -303,7 +313,6 @@ def pairs(terms: DataFrame, groups: DataFrame, tile: int = TILE, size: int = SLI
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank)."""
     terms, groups = prepared(docs, least)
-    terms = scratch(terms)
     parts = [x.select("lang", "source", F.lit(name).alias("part"), "item", F.col("value").cast("long").alias("value"), "rank") for name, x in (("pair", pairs(terms, groups)), ("term", leading_terms(terms, top)))]
     return parts[0].unionByName(parts[1])
 
