@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import BLANK, WORD
+from opinara.llm.common import BLANK, WORD, scratch
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -105,6 +105,14 @@ def judge(book: DataFrame, policy: str = "v2") -> DataFrame:
     return book.withColumn("base_failed", base).withColumn("kept", ~base & ~hit(mask(policy)))
 
 
+def report(docs: DataFrame, policy: str = "v2") -> DataFrame:
+    """(doc_id, measurements, base_failed, kept, further measurements, fail_bits) from a ledger that is
+    written once; any number of policies could be judged from it."""
+    judged = judge(scratch(ledger(docs)), policy)
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*first, *[c for c in judged.columns if c not in first])
+
+
 def ablations(book: DataFrame, policy: str = "v2") -> DataFrame:
     """(rule, n_failed, n_only): documents a rule fails, and those that only this rule removes.
 

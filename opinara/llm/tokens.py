@@ -1,7 +1,8 @@
 """Token counts through an exact histogram of encoded lengths.
 
 Each text is encoded once where it is read; only (length, documents) is shuffled, already
-summed per task.  Suffix sums over the lengths then answer totals, quantiles and truncated
+summed per task.  The histogram is written, since block totals and sums inside blocks both read
+it.  Suffix sums over the lengths then answer totals, quantiles and truncated
 totals for every context limit.
 
 Defined results: null and empty texts have length 0; an empty table gives an empty histogram;
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from opinara.llm.common import scratch
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Splitting rule that belongs to the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,7 +63,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     Sums run inside blocks of lengths; the few block totals are summed apart and joined back,
     so no task holds all lengths.
     """
-    h = hist.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn(
+    h = scratch(hist).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn(
         "_tokens", F.col("n_tokens") * F.col("n_docs")
     )
     inside = W.partitionBy("_block").orderBy(F.desc("n_tokens")).rowsBetween(W.unboundedPreceding, W.currentRow)
