@@ -131,6 +131,21 @@ def compare_models(spark, sf_dir):
     return _rounded(V.compare_models(_compared(spark, sf_dir)), "model_order", "model", "n")
 
 
+SQL_TRAIN_METRICS = with_(
+    *[x.replace("WHERE split = 'test' GROUP BY", "WHERE split = 'train' GROUP BY") for x in SQL_BAYES],
+    "long AS (SELECT review_id, 0 AS model_order, 'Naive Bayes' AS model, sentiment AS truth, nb_sentiment AS pred FROM nb JOIN tagged USING (review_id))",
+    *SQL_METRICS,
+)
+
+
+@query("train_metrics_nb", SQL_TRAIN_METRICS + f"SELECT model, n, {_SQL_ROW} FROM mm")
+def train_metrics_nb(spark, sf_dir):
+    """Naive Bayes on the rows it was fitted to."""
+    rows = bayes_predictions(spark, sf_dir, part="train")
+    long = V.long_predictions(rows, "sentiment", {"Naive Bayes": "nb_sentiment"})
+    return _rounded(V.compare_models(long), "model", "n")
+
+
 @query(
     "best_model",
     SQL_COMPARED + f"SELECT model, {_SQL_ROW} FROM mm ORDER BY f1_w DESC, model_order LIMIT 1",

@@ -242,11 +242,11 @@ def train_features(spark, sf_dir):
     return X.sparse_features(rows, train, vocabulary, keep=["sentiment", "split"])
 
 
-def bayes_predictions(spark, sf_dir, alpha: float = 1.0):
-    """Naive Bayes fitted on the training rows, scores of the test rows."""
+def bayes_predictions(spark, sf_dir, alpha: float = 1.0, part: str = "test"):
+    """Naive Bayes fitted on the training rows, scores of the rows of a part."""
     rows, size = train_features(spark, sf_dir)
     model = NB.fit_bayes(rows.where("split = 'train'"), size, alpha)
-    return NB.score_bayes(rows.where("split = 'test'"), model)
+    return NB.score_bayes(rows.where(F.col("split") == part), model)
 
 
 SQL_BAYES = (
@@ -290,3 +290,24 @@ def nb_relational(spark, sf_dir):
     return bayes_predictions(spark, sf_dir).select(
         "review_id", "nb_sentiment", *[F.round(f"score_{c}", 5).alias(f"score_{c}") for c in C.CLASSES]
     )
+
+
+@query(
+    "assemble_rows",
+    with_(*SQL_BAYES)
+    + "SELECT review_id, any_value(split) AS split, (SELECT d FROM dims) AS n_features, count(*) FILTER (WHERE weight <> 0) AS n_stored, "
+    "round(sum(weight), 5) AS weight_sum, round(sum(weight * weight), 5) AS square_sum FROM x GROUP BY review_id",
+)
+def assemble_rows(spark, sf_dir):
+    """Terms and scaled counts of every rated row side by side: sizes and sums of its features."""
+    rows, size = train_features(spark, sf_dir)
+    weights = F.col("features")["weights"]
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    return rows.select(
+        "review_id",
+        "split",
+        F.lit(size).cast("long").alias("n_features"),
+        F.size(F.filter(weights, lambda w: w != 0)).cast("long").alias("n_stored"),
+        F.round(total(weights), 5).alias("weight_sum"),
+        F.round(total(F.transform(weights, lambda w: w * w)), 5).alias("square_sum"),
+    )
