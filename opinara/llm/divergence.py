@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -158,8 +159,12 @@ def skyband(n: np.ndarray, whole: np.ndarray, terms: list, top: int, block: int
     dominate; those within the skyband are enough to tell who leaves it.
     """
     place = np.empty(len(terms), dtype=np.int64)
-    place[sorted(range(len(terms)), key=terms.__getitem__)] = np.arange(len(terms))
+    place[np.asarray(pc.array_sort_indices(pa.array(terms, pa.binary()))).astype(np.int64)] = np.arange(len(terms))
     order = np.lexsort((place, whole, -n))
+    # Of terms alike in both counts only the first `top` have fewer dominators among themselves.
+    alike = np.append(True, (np.diff(n[order]) != 0) | (np.diff(whole[order]) != 0))[: len(order)]
+    first = np.flatnonzero(alike)
+    order = order[np.arange(len(order)) - first[np.cumsum(alike) - 1] < top] if len(order) else order
     w, t = whole[order], place[order]
     kept = np.zeros(0, dtype=np.int64)
     for a in range(0, len(order), block):

@@ -105,3 +105,14 @@ def test_partial_skybands_and_counts_that_are_shipped_early(spark, monkeypatch):
     want = [r for r in brute(docs, 3, 2) if r[2] == "term"]
     got = divergence.leading_terms(narrow.select("*"), 2).withColumn("part", F.lit("term"))
     assert rows_of(got) == want
+
+
+def test_skyband_compares_no_crowds_of_like_terms(monkeypatch):
+    """Terms alike in both counts leave before any comparison: 20,000 of them once met in blocks."""
+    n, whole = np.ones(20_000, dtype=np.int64), np.full(20_000, 3)
+    terms = [b"%05d" % k for k in range(20_000)][::-1]
+    seen = []
+    concatenate = np.concatenate
+    monkeypatch.setattr(divergence.np, "concatenate", lambda parts, **k: seen.append(sum(map(len, parts))) or concatenate(parts, **k))
+    assert sorted(divergence.skyband(n, whole, terms, 200)) == list(range(19_800, 20_000))
+    assert sum(seen) < 2_000
