@@ -47,7 +47,7 @@ RATES = {"word": 0.0005, "char": 0.0005}  # embeddings move slowly: they could l
 THRESHOLD = 0.7
 CACHE = 120_000
 GROUP = 100_000  # words scored together
-CHUNK = 20_000  # words whose n-grams are laid out at once
+CHUNK = 5_000  # words whose n-grams are laid out at once
 _EDGE = ".,;:!?()[]\"'"
 
 
@@ -301,14 +301,18 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     words = sorted((w for w, c in counts.items() if sum(c) > 1), key=lambda w: (-sum(counts[w]), w))[: VOCABULARY - 1]
     vocabulary = {w: i + 1 for i, w in enumerate(words)}
     grams = np.zeros((2, NGRAMS))
-    for a in range(0, len(seen), 50):
-        # A text's n-grams count once, however often it has them.
-        part = [(i, w) for i, ws in enumerate(seen[a : a + 50]) for w in ws]
+    met = np.cumsum([len(ws) for ws in seen])
+    a = 0
+    while a < len(seen):
+        # A text's n-grams count once, however often it has them; about CHUNK words at a time.
+        b = max(a + 1, int(np.searchsorted(met, (met[a - 1] if a else 0) + CHUNK, side="right")))
+        part = [(i, w) for i, ws in enumerate(seen[a:b]) for w in ws]
         if part:
             first, items = ngrams([w for _, w in part])
             text = np.repeat(np.array([i for i, _ in part]), np.diff(first, append=len(items)))
             both = np.unique(text * NGRAMS + items)
             np.add.at(grams, (y[a + both // NGRAMS].astype(int), both % NGRAMS), 1)
+        a = b
     small = lambda *shape: rng.normal(0, 0.1, shape)
     d = WORD_DIM + CHAR_DIM
     net = Network(
