@@ -50,3 +50,28 @@ def test_search_next_to_the_solver_of_spark(rows):
     assert both.where(F.col("own") == F.col("mlp_index")).count() >= 0.9 * 1100
     assert len(found.means) == 2 and all(0.5 < m <= 1 for m in found.means)
     assert not found.model.isSet("initialWeights") and found.model.getOrDefault("maxIter") == 60
+
+
+def test_fits_of_a_candidate_share_a_job_for_each_step(rows, monkeypatch):
+    """One job a step for all folds; each fit alone, which took a job a step before, ends alike."""
+    asked = []
+    losses_of = P.losses_of
+
+    def counted(*args):
+        at = losses_of(*args)
+        return lambda points: asked.append(len(points)) or at(points)
+
+    monkeypatch.setattr(P, "losses_of", counted)
+    M.search_perceptron(rows, 12, RunConfig(mlp_hidden=((4,),), mlp_max_iter=(8,), n_folds=3))
+    assert asked.count(3) >= 8 and asked.count(1) <= len(asked) // 2 + 4
+    data, sizes = P.blocks(rows), [12, 4, 3]
+    start = np.random.default_rng(3).normal(0, 0.3, 12 * 4 + 4 + 4 * 3 + 3)
+    parts = data.collect()
+    for k, (n, loss, total) in enumerate(P.slopes(parts, [start] * 3, sizes, range(3))):
+        alone = P.slope([p for p in parts if p[0] != k], start, sizes)
+        assert n == alone[0] and loss == pytest.approx(alone[1]) and total == pytest.approx(alone[2], abs=1e-4)
+    together = P.fitted(losses_of(data, sizes, range(3)), [start] * 3, 5)
+    for k, (point, history) in enumerate(together):
+        alone = P.fitted(losses_of(data, sizes, [k]), [start], 5)[0]
+        assert history == pytest.approx(alone[1], rel=1e-3) and point == pytest.approx(alone[0], abs=0.05)
+    data.unpersist()
