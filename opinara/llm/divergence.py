@@ -42,6 +42,7 @@ SCALE = 1_000_000_000
 TILE = 64  # sources
 SLICE = 200_000  # counts of kept terms that a task holds, about
 _HELD = 400_000  # counts that a task holds before it ships them
+_LAID_OUT = 12 << 20  # bytes of texts whose terms are counted at once
 _CHUNK = 1 << 22  # bytes of a text cut into terms at once
 _FANOUT = 16
 
@@ -61,7 +62,7 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
 
 
 class _Counts:
-    """Counts of terms and of documents by (lang, source)."""
+    """Counts of terms and of documents by (lang, source), of texts of any length."""
 
     def __init__(self) -> None:
         self.groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -94,17 +95,87 @@ class _Counts:
         self.groups.clear()
 
 
+class _Arrays:
+    """The same of texts of up to `_CHUNK` bytes, many at once."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.texts: list[bytes] = []  # folded, not counted yet
+        self.of: list[int] = []  # their groups
+        self.bytes = 0
+        self.parts: list[pa.Table] = []  # (group, term, n, docs)
+        self.held = 0
+
+    def add(self, group: tuple[str, str], text: bytes) -> None:
+        number = self.groups.setdefault(group, len(self.groups))
+        self.texts.append(text.translate(_FOLD))
+        self.of.append(number)
+        self.bytes += len(text)
+        if self.bytes >= _LAID_OUT:
+            self.count()
+
+    def _keep(self, group: np.ndarray, term: pa.Array, n: np.ndarray, docs: np.ndarray) -> None:
+        if len(n):
+            self.parts.append(pa.table({"group": group, "term": term, "n": n, "docs": docs}))
+            self.held += len(n)
+
+    def count(self) -> None:
+        """The texts held become counts: one sort of (group, term, document) as one number."""
+        words = pc.ascii_split_whitespace(pa.array(self.texts, pa.binary()).cast(pa.string(), safe=False))
+        doc, flat = np.asarray(pc.list_parent_indices(words)), words.flatten()
+        real = pc.not_equal(pc.binary_length(flat), 0)  # there are empty ones at the ends
+        coded = flat.filter(real).dictionary_encode()
+        doc, size, most = doc[np.asarray(real)], len(coded.dictionary), max(1, len(self.texts))
+        key = (np.array(self.of, dtype=np.int64)[doc] * size + np.asarray(coded.indices)) * most + doc
+        key.sort()
+        pair = key // most
+        new = np.flatnonzero(np.diff(pair, prepend=-1))
+        fresh = np.diff(key, prepend=-1) != 0
+        if len(key):
+            self._keep(pair[new] // size, coded.dictionary.take(pa.array(pair[new] % size)), np.diff(new, append=len(key)), np.add.reduceat(fresh.astype(np.int64), new))
+        self.texts, self.of, self.bytes = [], [], 0
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            whole = pa.concat_tables(self.parts).combine_chunks()
+            coded = whole["term"].combine_chunks().dictionary_encode()
+            key = whole["group"].to_numpy() * len(coded.dictionary) + np.asarray(coded.indices)
+            order = np.argsort(key, kind="stable")
+            new = np.flatnonzero(np.diff(key[order], prepend=-1))
+            sums = [np.add.reduceat(whole[c].to_numpy()[order], new) for c in ("n", "docs")]
+            at = key[order][new]
+            self.parts, self.held = [], 0
+            self._keep(at // len(coded.dictionary), coded.dictionary.take(pa.array(at % len(coded.dictionary))), *sums)
+
+    def ship(self) -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array(x, pa.string()) for x in zip(*self.groups, strict=True)) if self.groups else ([], [])
+        for part in self.parts:
+            for rows in part.to_batches(max_chunksize=100_000):
+                yield pa.RecordBatch.from_arrays([langs.take(rows["group"]), sources.take(rows["group"]), rows["term"], rows["n"], rows["docs"]], names=["lang", "source", "term", "n", "docs"])
+        self.__init__()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = _Counts()
+    counts, long = _Arrays(), _Counts()
     for batch in batches:
         keys = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
-        for k, (group, text) in enumerate(zip(keys, batch.column("text"), strict=True)):
-            held.add(group, text.as_py())
-            if k % 256 == 255 and held.size() > _HELD:
-                yield from held.ship()
-        if held.size() > _HELD:
-            yield from held.ship()
-    yield from held.ship()
+        for group, value in zip(keys, batch.column("text"), strict=True):
+            text = value.as_py()
+            if len(text) > _CHUNK:
+                long.add(group, text)
+                if long.size() > _HELD:
+                    yield from long.ship()
+                continue
+            counts.add(group, text)
+            if counts.held > _HELD:
+                counts.merge()
+                if counts.held > _HELD // 2:
+                    counts.count()  # the texts held refer to these groups
+                    yield from counts.ship()
+    counts.count()
+    counts.merge()
+    yield from counts.ship()
+    yield from long.ship()
 
 
 def _read(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
