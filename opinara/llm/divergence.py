@@ -240,7 +240,8 @@ def skyband(n: np.ndarray, whole: np.ndarray, terms: list, top: int, block: int
     kept = np.zeros(0, dtype=np.int64)
     for a in range(0, len(order), block):
         new = np.arange(a, min(a + block, len(order)))
-        over = np.concatenate([kept, new])
+        near = kept[(w[kept] <= w[new].max()) & (t[kept] < t[new].max())]  # others dominate none of these
+        over = np.concatenate([near, new])
         above = (w[over][:, None] <= w[new][None, :]) & (t[over][:, None] < t[new][None, :]) & (over[:, None] < new[None, :])
         kept = np.concatenate([kept, new[above.sum(axis=0) < top]])
     return order[kept]

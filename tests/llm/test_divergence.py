@@ -142,3 +142,13 @@ def test_terms_are_counted_by_arrays_however_texts_are_held(monkeypatch):
                 x[0], x[1] = x[0] + n, x[1] + docs
         assert got == wanted
     assert list(divergence._count(iter([]))) == []
+
+
+def test_skyband_compares_only_what_may_dominate(monkeypatch):
+    """Of falling counts no term dominates another; each once met all that were kept before it."""
+    n, terms = np.arange(5_000, 0, -1), [b"%05d" % k for k in range(5_000)]
+    seen = []
+    concatenate = np.concatenate
+    monkeypatch.setattr(divergence.np, "concatenate", lambda parts, **k: seen.append(sum(map(len, parts))) or concatenate(parts, **k))
+    assert sorted(divergence.skyband(n, n, terms, 200)) == list(range(5_000))
+    assert sum(seen) < 70_000
