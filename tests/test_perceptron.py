@@ -104,3 +104,23 @@ def test_gradients_lay_out_no_dense_rows():
         share[at, labels[has]] -= 1
         delta = share @ v.T * state * (1 - state)
         assert total == pytest.approx(np.concatenate([(x.T @ delta).ravel(), delta.sum(0), (state.T @ share).ravel(), share.sum(0)]), abs=1e-6)
+
+
+def test_training_rows_have_partitions_by_size(spark, monkeypatch):
+    """Every pass of a training run read its rows in the partitions of a shuffle, however few they are."""
+    seen = []
+
+    def stop(folded, *_):
+        seen.append((folded.count(), folded.rdd.getNumPartitions()))
+        raise InterruptedError
+
+    monkeypatch.setattr(M, "fit_features", stop)
+    rows = spark.createDataFrame([(f"r{i}", "Positive", "good cards") for i in range(40)], "review_id string, sentiment string, reviewText string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        with pytest.raises(InterruptedError):
+            M.train_models(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0][0] == 40 and seen[0][1] < 40
