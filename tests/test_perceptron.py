@@ -124,3 +124,51 @@ def test_training_rows_have_partitions_by_size(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0][0] == 40 and seen[0][1] < 40
+
+
+def test_rows_set_apart_give_the_same_sums(rows, monkeypatch):
+    """Tables of several partitions shipped a sum for every fit from every task; now a fit has tasks of its own."""
+    data, sizes, folds = P.blocks(rows).repartition(3).persist(), [12, 4, 3], range(3)
+    start = np.random.default_rng(5).normal(0, 0.3, 12 * 4 + 4 + 4 * 3 + 3)
+    monkeypatch.setattr(P, "_GROUP_ROWS", 600)
+    apart = P.apart(data, 12, folds)
+    assert apart.groups == 2 and apart.rows.getNumPartitions() == 6
+    together, alone = (P.losses_of(x, sizes, folds) for x in (data, apart))
+    for points in (dict.fromkeys(folds, start), {1: start}):
+        want, got = together(points), alone(points)
+        assert list(got) == list(points)
+        for k in points:
+            assert got[k][0] == pytest.approx(want[k][0]) and got[k][1] == pytest.approx(want[k][1], abs=1e-5)
+    apart.rows.unpersist()
+
+
+def test_search_sets_rows_of_several_partitions_apart(rows, monkeypatch):
+    asked, losses_of, blocks = [], P.losses_of, P.blocks
+    monkeypatch.setattr(P, "blocks", lambda *a: blocks(*a).repartition(2).persist())
+    monkeypatch.setattr(P, "losses_of", lambda data, *a: asked.append(type(data)) or losses_of(data, *a))
+    found = M.search_perceptron(rows, 12, RunConfig(mlp_hidden=((4,), (5,)), mlp_max_iter=(30,), n_folds=3))
+    assert [x is P.Apart for x in asked] == [True, True, False]  # the refit leaves out no rows
+    assert all(0.5 < m <= 1 for m in found.means)
+
+
+def test_driver_holds_little_of_a_fit():
+    """Corrections lie in a file: ten pairs, places and directions of a fit took 128 bytes a weight before."""
+    n = 400_000
+    scale = np.linspace(1, 300, n)
+    tracemalloc.start()
+    point, history = P.fitted(lambda points: {k: (float(0.5 * (scale * x) @ x), scale * x) for k, x in points.items()}, [np.ones(n)], 30)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * n and history[-1] < 1e-2 * history[0] and len(history) > 12
+
+
+def test_fits_at_once_by_their_size():
+    """All fits of all candidates were made at once, whatever their size."""
+    assert P.at_once(150) > 1000 and 1 <= P.at_once(514_435) <= 3
+    asked, starts = [], [np.full(3, float(k)) for k in range(1, 6)]
+    losses = lambda points: asked.append(sorted(points)) or {k: (float(x @ x), 2.0 * x) for k, x in points.items()}
+    want = [x.tolist() for x, _ in P.fitted(losses, starts, 4)]
+    assert asked[0] == [0, 1, 2, 3, 4]
+    asked.clear()
+    assert [x.tolist() for x, _ in P.fitted(losses, starts, 4, most=3)] == want
+    assert max(map(len, asked)) == 3 and {k for x in asked for k in x} == {*range(5)}
